@@ -1,27 +1,5 @@
 """Written tables in the folder that all executors share."""
 
-from __future__ import annotations
+from ..storage import shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quadrille-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored as Parquet in the shared folder and read again: lineage ends here, and a lost
-    executor costs a re-read rather than a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]
