@@ -24,15 +24,28 @@ NUMBERS = INTEGERS + tuple(XSD + x for x in ("decimal", "float", "double"))
 STRINGS = ("", XSD + "string")
 
 
-class Iri(str):
+class _Name(str):
+    """Equal names of different kinds are different terms; plain strings compare as strings."""
+
+    __slots__ = ()
+    __hash__ = str.__hash__
+
+    def __eq__(self, other):
+        return str.__eq__(self, other) if type(other) in (type(self), str) else False
+
+    def __ne__(self, other):
+        return not self == other
+
+
+class Iri(_Name):
     __slots__ = ()
 
 
-class Bnode(str):
+class Bnode(_Name):
     __slots__ = ()
 
 
-class Var(str):
+class Var(_Name):
     __slots__ = ()
 
 
