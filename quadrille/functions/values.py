@@ -201,14 +201,15 @@ def register(iri: str, fn: Callable[..., Value]) -> None:
     EXTENSIONS[iri] = fn
 
 
-def order_key(v: Value) -> list[Column]:
-    """Sort keys: unbound, blank, IRI, literal; literals by number, time, boolean, string, then by form."""
-    if v.kind is None:
-        rank = F.when(v.term.isNull(), 0).when(T.is_blank(v.term), 1).when(T.is_iri(v.term), 2).otherwise(3)
-    else:
-        rank = F.when(v.term.isNull(), 0).otherwise({"B": 1, "U": 2, "L": 3}[v.kind])
+def order_key(v: Value, bound: bool = False) -> list[Column]:
+    """Sort keys: unbound, blank, IRI, literal; literals by number, time, boolean, string, then by form.
+    ``bound``: the value is never missing, so one of a known kind needs no rank."""
     have = [f for f in ("num", "time", "date", "bool", "str") if f in v.families]
-    keys = [rank]
+    keys = []
+    if v.kind is None:
+        keys.append(F.when(v.term.isNull(), 0).when(T.is_blank(v.term), 1).when(T.is_iri(v.term), 2).otherwise(3))
+    elif not bound:
+        keys.append(F.when(v.term.isNull(), 0).otherwise(1))
     if len(have) > 1:
         keys.append(reduce(lambda w, x: w.when(v.families[x[1]].isNotNull(), x[0]), enumerate(have), F).otherwise(len(have)))
-    return keys + [v.families[f] for f in have] + ([] if have == ["num"] and v.kind == "L" else [v.text])
+    return keys + [v.families[f] for f in have] + ([] if v.kind == "L" and have else [v.text])

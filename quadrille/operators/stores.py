@@ -81,8 +81,8 @@ class QuadStore:
         df = df.select("s", "p", "o")
         return df.distinct() if self.many_graphs and (data.graphs is None or len(data.graphs) > 1) else df
 
-    def star(self, triples: list[Triple], data: Dataset) -> Solutions | None:
-        return None
+    def stars(self, triples: list[Triple], data: Dataset) -> list[tuple[list[Triple], Solutions]]:
+        return [([t], self.scan(t, data)) for t in triples]
 
     def scan(self, t: Triple, data: Dataset) -> Solutions:
         slots = [(t.s, F.col("s"), DYNAMIC), (t.p, F.col("p"), DYNAMIC), (t.o, F.col("o"), DYNAMIC)]
@@ -152,38 +152,43 @@ class MappedStore:
         df = m.df if data.named is None else m.df.where(m.graph[0].text(m.graph[1]).isin(list(data.named)))
         return df, [(data.graph, m.graph[1], m.graph[0])]
 
-    def star(self, triples: list[Triple], data: Dataset) -> Solutions | None:
-        """One scan for patterns on one subject, if a single table with unique subjects has them all."""
-        if any(isinstance(t.p, Var) for t in triples):
-            return None
-        fits = []
-        for m in self.tables:
-            own = self._predicates(m)
-            have = [t.p in own and not (t.p == TYPE and isinstance(t.o, Iri) and t.o != m.rdf_class) for t in triples]
-            if any(have):
-                fits.append((m, all(have)))
-        s = triples[0].s
-        if not isinstance(s, Var):
-            fits = [x for x in fits if isinstance(s, Iri) and s.startswith(x[0].prefix)]
-        whole = [m for m, every in fits if every and m.unique]
-        typed = any(t.p == TYPE and not isinstance(t.o, Var) for t in triples)
-        if len(whole) != 1 or (len(fits) > 1 and not typed and not self._apart([m for m, _ in fits])):
-            return None
-        m = whole[0]
-        if len({t.p for t in triples}) < len(triples) and any(sum(x.p == t.p for x in triples) > 1 and isinstance(t.o, Var) for t in triples):
-            pass  # one value per row and predicate: both patterns bind it
-        found = self._graphed(m, data)
-        if found is None:
-            return None
-        df, extra = found
-        own = self._predicates(m)
-        return _solutions(df, [(s, m.key, m.subject), *[(t.o, own[t.p][1], own[t.p][0]) for t in triples if not (t.p == TYPE and t.o == m.rdf_class)], *extra])
+    def stars(self, triples: list[Triple], data: Dataset) -> list[tuple[list[Triple], Solutions]]:
+        """One scan for all patterns on one subject whose predicates only one table has, if no two of its rows
+        have one subject; a scan each for the others."""
+        groups: dict[int, list[Triple]] = {}
+        out = []
+        for t in triples:
+            have = [k for k, m in enumerate(self.tables) if not isinstance(t.p, Var) and self._has(m, t)]
+            if len(have) == 1 and self.tables[have[0]].unique:
+                groups.setdefault(have[0], []).append(t)
+            else:
+                out.append(([t], self.scan(t, data)))
+        for k, own in groups.items():
+            m, s = self.tables[k], own[0].s
+            found = self._graphed(m, data)
+            if found is None or not (isinstance(s, Var) or isinstance(s, Iri) and s.startswith(m.prefix)):
+                out += [([t], self.scan(t, data)) for t in own]
+                continue
+            df, extra = found
+            values = self._predicates(m)
+            slots = [(t.o, values[t.p][1], values[t.p][0]) for t in own if not (t.p == TYPE and t.o == m.rdf_class)]
+            out.append((own, _solutions(df, [(s, m.key, m.subject), *slots, *extra])))
+        return out
 
-    @staticmethod
-    def _apart(maps: list[TableMap]) -> bool:
-        """Whether no IRI can be a subject of two of the tables."""
-        prefixes = sorted(m.prefix for m in maps)
-        return all(not b.startswith(a) for a, b in zip(prefixes, prefixes[1:]))
+    def _has(self, m: TableMap, t: Triple) -> bool:
+        return t.p in self._predicates(m) and not (t.p == TYPE and isinstance(t.o, Iri) and t.o != m.rdf_class)
+
+    def _exploded(self, m: TableMap, t: Triple, df: DataFrame, extra: list) -> Solutions:
+        """A table's rows for a variable predicate: one scan, a row per column that isn't NULL."""
+        if not isinstance(t.s, Var):
+            df = df.where(equals(m.key, m.subject, t.s))
+        row = F.explode(F.array(*[F.struct(F.lit(f"<{p}>").alias("p"), d.term(c).alias("o")) for p, (d, c) in self._predicates(m).items()]))
+        graph = [d.term(c).alias("g") for _, c, d in extra]
+        df = df.select(m.subject.term(m.key).alias("s"), row.alias("t"), *graph).select("s", "t.p", "t.o", *["g" for _ in extra]).where("o is not null")
+        x = _solutions(df, [(t.s, F.col("s"), DYNAMIC), (t.p, F.col("p"), DYNAMIC), (t.o, F.col("o"), DYNAMIC), *[(g, F.col("g"), DYNAMIC) for g, _, _ in extra]])
+        if not m.unique:
+            x.df = x.df.distinct()
+        return x
 
     def scan(self, t: Triple, data: Dataset) -> Solutions:
         parts = []
@@ -194,14 +199,16 @@ class MappedStore:
             if found is None:
                 continue
             df, extra = found
+            if isinstance(t.p, Var):
+                parts.append(self._exploded(m, t, df, extra))
+                continue
             for p, (desc, col) in self._predicates(m).items():
-                if not isinstance(t.p, Var) and t.p != p:
+                if t.p != p:
                     continue
                 if p == TYPE and isinstance(t.o, Iri) and t.o != m.rdf_class:
                     continue
-                predicate = [(t.p, F.lit(f"<{p}>"), DYNAMIC)] if isinstance(t.p, Var) else []
                 value = [] if p == TYPE and isinstance(t.o, Iri) else [(t.o, col, desc)]
-                x = _solutions(df.where(col.isNotNull()), [(t.s, m.key, m.subject), *predicate, *value, *extra])
+                x = _solutions(df.where(col.isNotNull()), [(t.s, m.key, m.subject), *value, *extra])
                 if not m.unique:
                     x.df = x.df.distinct()
                 parts.append(x)

@@ -103,26 +103,16 @@ class Engine:
         stars: dict[object, list[Triple]] = {}
         for t in triples:
             stars.setdefault(t.s, []).append(t)
-        units: list[list[Triple]] = []
-        plans: dict[int, Solutions] = {}
-        for own in stars.values():
-            s = self.store.star(own, data)
-            if s is not None:
-                plans[len(units)] = s
-                units.append(own)
-            else:
-                for t in own:
-                    units.append([t])
-        cost = [min(self.store.estimate(t) for t in u) for u in units]
-        names = [{v for t in u for v in t.variables()} for u in units]
+        units = [u for own in stars.values() for u in self.store.stars(own, data)]
+        cost = [min(self.store.estimate(t) for t in u) for u, _ in units]
+        names = [{v for t in u for v in t.variables()} for u, _ in units]
         left = set(range(len(units)))
         out, seen = None, set()
         while left:
             near = [k for k in left if not seen or names[k] & seen] or list(left)
             k = min(near, key=lambda k: (cost[k], k))
             left.remove(k)
-            x = plans.get(k) or self.store.scan(units[k][0], data)
-            out = x if out is None else join(out, x)
+            out = units[k][1] if out is None else join(out, units[k][1])
             seen |= names[k]
         return out or Solutions.unit(self.store.spark)
 
@@ -185,7 +175,7 @@ class Engine:
         """Order, projection, distinct and slice."""
         keys: list[Column] = []
         for e, up in q.order:
-            keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in V.order_key(evaluate(e, s))]
+            keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in V.order_key(evaluate(e, s), e[0] == "var" and e[1] in s.bound)]
         used = {str(x[1]) for e, _ in q.order for x in _leaves(e) if x[0] == "var"}
         if not q.distinct:
             if keys:
@@ -195,7 +185,7 @@ class Engine:
             s = distinct(s.project(names))
             keys = []
             for e, up in q.order:
-                keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in V.order_key(evaluate(e, s))]
+                keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in V.order_key(evaluate(e, s), e[0] == "var" and e[1] in s.bound)]
             if keys:
                 s = replace(s, df=s.df.orderBy(*keys))
         else:  # sorted by what isn't shown: the first of equal rows counts
