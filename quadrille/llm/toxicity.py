@@ -8,8 +8,8 @@ zero, a step goes against it instead, so that the classifier can't profit from c
 documents clean. Only words that occur in several toxic documents are weighted.
 
 The prior is the toxic share among the labels of the training folds. Fitting uses at most
-``positives`` toxic and ``unlabelled`` other documents of the training folds; scoring reads every text
-whole.
+``positives`` toxic and ``unlabelled`` other documents of the training folds, whose hashed words alone
+reach the driver; scoring reads every text whole.
 
 Edge cases: a null or empty text has the classifier's base score; without a toxic document to learn
 from, every score is the prior; repeated rows give equal rows; an empty table gives an empty result;
@@ -44,12 +44,23 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.1, least: int = 4, decay: float = 1e-4) -> dict:
-    """Weights of a linear scorer; full-batch Adam on the non-negative risk with logistic loss."""
+def word_sets(col: pa.Array) -> list[np.ndarray]:
+    """The hashed words of each row."""
+    row, word = features(col)
+    return np.split(word, np.searchsorted(row, np.arange(1, len(col))))
+
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets).astype(np.int64)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, least: int = 4, decay: float = 1e-4) -> dict:
+    """Weights of a linear scorer from the word sets of documents; full-batch Adam on the non-negative risk
+    with logistic loss."""
     base = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": base}
-    (pr, pw), (ur, uw) = (features(pa.array(x, pa.large_string())) for x in (positive, unlabelled))
+    (pr, pw), (ur, uw) = _flat(positive), _flat(unlabelled)
     seen = np.bincount(pw, minlength=1 << BITS)
     # words that are commoner among the toxic, or clearly rarer, than in unlabelled text
     other = np.bincount(uw, minlength=1 << BITS)
@@ -106,6 +117,12 @@ def _score(model: dict):
     return run
 
 
+def _sets(batches):
+    for piece in pieces(batches, "text", 2 << 20):
+        words = [x.astype(np.int32).tobytes() for x in word_sets(piece.column(2))]
+        yield pa.record_batch([piece.column(0), piece.column(1), pa.array(words, pa.binary())], ["positive", "doc_id", "words"])
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000) -> dict:
     """A model from bounded samples of the training folds of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
@@ -117,8 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
         return fit([], [], prior)
     marks = [(i, True) for i in sorted(set(toxic))] + [(i, False) for i in other]
     pick = F.broadcast(docs.sparkSession.createDataFrame(marks, "doc_id long, positive boolean"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(pick, "doc_id").orderBy("doc_id", "positive", "text").collect()
-    return fit([r["text"] for r in rows if r["positive"]], [r["text"] for r in rows if not r["positive"]], prior)
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(pick, "doc_id")
+    rows = chosen.select("positive", "doc_id", "text").mapInArrow(_sets, "positive boolean, doc_id long, words binary").orderBy("doc_id", "positive", "words").collect()
+    sets = [(r["positive"], np.frombuffer(r["words"], np.int32)) for r in rows]
+    return fit([x for p, x in sets if p], [x for p, x in sets if not p], prior)
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
