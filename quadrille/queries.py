@@ -67,9 +67,9 @@ sparql("repeated_variable", "orders customer", "SELECT ?o { ?o :o_orderstatus ?s
 sparql("filter_num", "orders", "SELECT ?o ?p { ?o :o_totalprice ?p FILTER(?p >= 400000) }", "SELECT o_orderkey AS o, o_totalprice AS p FROM orders WHERE o_totalprice >= 400000")
 sparql("filter_and_or_not", "customer", "SELECT ?c { ?c :c_acctbal ?b ; :c_mktsegment ?m FILTER((?b > 5000 || ?b < 0) && !(?m = 'BUILDING')) }", "SELECT c_custkey AS c FROM customer WHERE (c_acctbal > 5000 OR c_acctbal < 0) AND NOT c_mktsegment = 'BUILDING'")
 sparql("filter_error", "customer", "SELECT ?c { ?c :c_name ?n ; :c_acctbal ?b FILTER(?n > 5 || ?b > 9000) }", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 9000")
-sparql("filter_date", "orders", 'SELECT ?o { ?o :o_orderdate ?d FILTER(?d < "1992-03-01T00:00:00"^^xsd:dateTime) }', "SELECT o_orderkey AS o FROM orders WHERE o_orderdate < TIMESTAMP '1992-03-01'")
+sparql("filter_date", "orders", 'SELECT ?o { ?o :o_orderdate ?d FILTER(?d < "1995-02-01T00:00:00"^^xsd:dateTime) }', "SELECT o_orderkey AS o FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01'")
 sparql("filter_constant", "region", "SELECT ?r { ?r a :Region FILTER(true) }", "SELECT r_regionkey AS r FROM region")
-sparql("filter_regex_flags", "part", "SELECT ?p ?t { ?p :p_type ?t FILTER regex(?t, '^[a-m].*s', 'i') }", "SELECT p_partkey AS p, p_type AS t FROM part WHERE regexp_matches(p_type, '(?i)^[a-m].*s')")
+sparql("filter_regex_flags", "part", "SELECT ?p ?t { ?p :p_type ?t FILTER regex(?t, '^[a-m].*d', 'i') }", "SELECT p_partkey AS p, p_type AS t FROM part WHERE regexp_matches(p_type, '(?i)^[a-m].*d')")
 sparql("filter_lang", "documents", "SELECT ?d { ?d :text ?t FILTER(lang(?t) = 'de') }", "SELECT doc_id AS d FROM documents WHERE lang = 'de'")
 sparql("langmatches", "documents", "SELECT ?d { ?d :text ?t FILTER(langMatches(lang(?t), 'FR')) }", "SELECT doc_id AS d FROM documents WHERE lang = 'fr'")
 sparql("filter_datatype", "region", "SELECT ?r ?p { ?r ?p ?v FILTER(datatype(?v) = xsd:integer) }", "SELECT '<http://ex/region/' || r_regionkey || '>' AS r, '<http://ex/r_regionkey>' AS p FROM region")
