@@ -192,6 +192,6 @@ def pack(docs: DataFrame, tokenizer: tuple | None = None, size: int = SIZE, end:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("place", F.row_number().over(within)).join(offsets, ["length", "salt"])
+    ranked = cut.withColumn("place", F.row_number().over(within)).join(offsets.hint("merge"), ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place") - 1).alias("rank"))
     return ranked.mapInArrow(_place(segments, rest, size), PIECES + ", sequence_id long, offset long, sequence_length long")
