@@ -102,7 +102,7 @@ def compare(op: str, a: Value, b: Value) -> Column:
         literals = [T.is_literal(x.term) if x.kind is None else F.lit(x.kind == "L") for x in (a, b)]
         if a.kind is None or b.kind is None or (a.kind == "L") != (b.kind == "L") or not parts:
             # different literals of unlike types can't be told equal or not; other terms can
-            known = F.when(same, F.lit(True)).when(literals[0] & literals[1] & _unlike(a, b), None).otherwise(F.lit(False))
+            known = F.when(same, F.lit(True)).when(same.isNull(), None).when(literals[0] & literals[1] & _unlike(a, b), None).otherwise(F.lit(False))
             parts.append(known if op == "=" else ~known)
     if not parts:
         return F.lit(None).cast("boolean")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import Rounds, written
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
@@ -15,26 +15,33 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]
 
     Only the rows of the last round are derived from. What is known is a union of the rounds' tables, so a
     round writes no more than it found; a row is found once."""
-    new = written(start.distinct(), "round")
-    rounds = [new]
+    known = Rounds(start.sparkSession, "fixpoint")
+    new, n = known.add(start.distinct())
     for _ in range(limit):
-        known = rounds[0]
-        for r in rounds[1:]:
-            known = known.unionByName(r)
-        new = written(step(new, known).distinct().join(known, start.columns, "left_anti"), "round")
-        if new.isEmpty():
-            return known
-        rounds.append(new)
-        if len(rounds) > 16:
-            rounds = [written(known.unionByName(new), "known")]
+        if not n:
+            return known.all() if known.parts else new
+        new, n = known.add(step(new, known.all()).distinct().join(known.all(), start.columns, "left_anti"))
     raise RuntimeError(f"no fixpoint after {limit} rounds")
 
 
+def _compose(x: DataFrame, y: DataFrame) -> DataFrame:
+    return x.alias("x").join(y.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+
+
 def transitive_closure(edges: DataFrame, reflexive: bool = False) -> DataFrame:
-    """All (a, b) with a path from a to b along ``edges`` (a, b); cycles end. ``reflexive`` adds (x, x) for every node."""
-    edges = edges.select("a", "b").distinct()
-    step = lambda new, _: new.alias("x").join(edges.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-    found = fixpoint(edges, step)
+    """All (a, b) with a path from a to b along ``edges`` (a, b); cycles end. ``reflexive`` adds (x, x) for
+    every node.
+
+    Round k knows the pairs up to 2^k steps apart and those exactly 2^k steps apart; the latter, followed by
+    the former, double the reach. The rounds are logarithmic in the longest shortest path."""
+    known = Rounds(edges.sparkSession, "closure")
+    power, n = known.add(edges.select("a", "b").distinct())
+    first = power
+    while n:
+        _, n = known.add(_compose(power, known.all()).distinct().join(known.all(), ["a", "b"], "left_anti"))
+        if n:
+            power = written(_compose(power, power).distinct(), "power")
+    found = known.all() if known.parts else first
     if reflexive:
         nodes = edges.select("a").union(edges.select("b"))
         found = found.union(nodes.select("a", F.col("a").alias("b"))).distinct()
@@ -45,24 +52,15 @@ def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False, depth:
     """(seed, node, depth) of every node that a seed reaches, itself included at depth 0, with the least depth."""
     a, b = ("b", "a") if reverse else ("a", "b")
     hops = edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
-    start = written(seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")), "reach")
-    rounds, new, k = [start], start, 0
-    while depth is None or k < depth:
+    known = Rounds(edges.sparkSession, "reach")
+    start = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    new, n = known.add(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
+    first, k = new, 0
+    while n and (depth is None or k < depth):
         k += 1
-        known = rounds[0]
-        for r in rounds[1:]:
-            known = known.unionByName(r)
         found = new.join(hops, new.node == hops["from"]).select("seed", F.col("to").alias("node"), F.lit(k).alias("depth")).distinct()
-        new = written(found.join(known.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "depth"), "reach")
-        if new.isEmpty():
-            break
-        rounds.append(new)
-        if len(rounds) > 16:
-            rounds = [written(known.unionByName(new), "reach")]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+        new, n = known.add(found.join(known.all().select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "depth"))
+    return known.all() if known.parts else first
 
 
 def transitive_generic(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ class QuadStore:
         self.spark: SparkSession = quads.sparkSession
 
     def triples(self, data: Dataset = Dataset()) -> DataFrame:
-        df = self.quads if data.graphs is None else self.quads.where(F.col("g").isin([f"<{g}>" for g in data.graphs]))
+        df = self.quads if data.graphs is None else self.quads.where(F.col("g").isin([f"<{g}>" if g else "" for g in data.graphs]))
         df = df.select("s", "p", "o")
         return df.distinct() if self.many_graphs and (data.graphs is None or len(data.graphs) > 1) else df
 
@@ -92,7 +92,7 @@ class QuadStore:
                 df = df.where(F.col("g").isin([f"<{g}>" for g in data.named]))
             return _solutions(df.where(F.col("g") != ""), [*slots, (data.graph, F.col("g"), DYNAMIC)])
         if data.graphs is not None:
-            df = df.where(F.col("g").isin([f"<{g}>" for g in data.graphs]))
+            df = df.where(F.col("g").isin([f"<{g}>" if g else "" for g in data.graphs]))
         out = _solutions(df, slots)
         if self.many_graphs and (data.graphs is None or len(data.graphs) > 1):
             out.df = out.df.distinct() if out.descs else out.df.limit(1)

@@ -15,7 +15,7 @@ from ..functions import values as V
 from ..operators.stores import Dataset, QuadStore
 from ..plans.algebra import Triple
 from ..solutions import Solutions, anti_join, join
-from ..storage import written
+from ..storage import Rounds
 from ..terms import Iri, Var, encode
 from .ast import LOG, MATH, STRING, Atom, Builtin, Rule, distinct_rules
 
@@ -182,45 +182,40 @@ class Engine:
         if added is not None and len(self.strata) + any(isinstance(b, Atom) and b.negated for r in self.rules for b in r.body) > 1:
             raise NotStratified("rules with negation can't be continued, only run again")
         facts = facts.select(*TRIPLE).distinct()
-        base = facts if added is None else facts.union(added.select(*TRIPLE)).distinct()
         spark = facts.sparkSession
-        derived: list[DataFrame] = []
+        start = Rounds(spark, "facts")
+        base, _ = start.add(facts if added is None else facts.union(added.select(*TRIPLE)).distinct())
+        derived = Rounds(spark, "derived")
         rounds, firings = 0, {}
 
         def known() -> DataFrame:
-            return reduce(DataFrame.unionByName, [d.select(*TRIPLE) for d in derived], base)
+            return base if not derived.parts else base.unionByName(derived.all().select(*TRIPLE))
 
         for stratum in self.strata:
             new = None if added is None else added.select(*TRIPLE).join(facts, TRIPLE, "left_anti").distinct()
-            first = True
             while True:
                 rounds += 1
                 if rounds > self.limit:
                     raise NoFixpoint(f"no fixpoint after {self.limit} rounds")
-                now, parts = known(), []
-                if first and new is None:
+                if new is None:
                     plans = [(r, None) for r in stratum]
                 else:
                     keys = self._keys(new)
                     plans = [(r, k) for r in stratum for k, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated and (b.key is None or b.key in keys)]
-                for r, k in plans:
-                    parts.append(self.fire(r, self.body(r, now, new, k)))
-                first = False
-                if not parts:
+                if not plans:
                     break
+                now = known()
+                parts = [self.fire(r, self.body(r, now, new, k)) for r, k in plans]
                 found = self._once(reduce(DataFrame.unionByName, parts)).join(now, TRIPLE, "left_anti").select(*self.columns)
-                step = written(found, "derived")
+                step, n = derived.add(found)
+                if not n:
+                    break
                 if self.provenance:
                     for r in step.groupBy("rule").count().collect():
                         firings[r["rule"]] = firings.get(r["rule"], 0) + r["count"]
-                if step.isEmpty():
-                    break
-                derived.append(step)
                 new = step.select(*TRIPLE)
-                if len(derived) > 16:
-                    derived[:] = [written(reduce(DataFrame.unionByName, derived), "derived")]
         schema = "s string, p string, o string" + (", rule string, premises array<struct<s:string,p:string,o:string>>" if self.provenance else "")
-        out = reduce(DataFrame.unionByName, derived) if derived else spark.createDataFrame([], schema)
+        out = derived.all() if derived.parts else spark.createDataFrame([], schema)
         return Inference(out, base.unionByName(out.select(*TRIPLE)), rounds, firings)
 
     @staticmethod

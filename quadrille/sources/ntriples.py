@@ -19,7 +19,7 @@ def _decoded(c: Column) -> Column:
     out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
     for a, b in _ESCAPED:
         out = F.replace(out, F.lit(a), F.lit(b))
-    code = lambda hexes: F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32BE")
+    code = lambda hexes: F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32")
     split = F.split(out, r"(?=\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})")
     unicode = F.array_join(
         F.transform(

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -15,7 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quadrille-"))
+    own = spark.sparkContext.applicationId
+    if own not in _OWN:
+        _OWN[own] = tempfile.mkdtemp(prefix="quadrille-")
+    return _OWN[own]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +30,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by one written part a round. However many rounds, it is one scan of their files."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.schema: StructType | None = None
+        self.parts: list[int] = []
+        self._next = 0
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Writes a part; returns it and its number of rows, counted while it is written."""
+        seen = Observation()
+        path = f"{self.root}/{self._next}"
+        self.schema = df.schema
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        n = seen.get["n"]
+        if n:
+            self.parts.append(self._next)
+        self._next += 1
+        return self.spark.read.schema(self.schema).parquet(path), n
+
+    def all(self) -> DataFrame | None:
+        if not self.parts:
+            return None
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{k}" for k in self.parts])
