@@ -69,3 +69,27 @@ def test_empty_and_null_id(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c d e f")], "doc_id long, text string")).collect()
     assert [r.component_id for r in got] == [None, None] and NULL_ID > 0
+
+
+def test_similar_documents(spark):
+    from quadrille.llm.simhash import similar_documents
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    rows, groups = [], {}
+    for g in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(80, 500))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(k * len(w) // 200):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((4 * g + k, " ".join(w).upper() if k == 1 else " ".join(w)))
+            groups[4 * g + k] = 4 * g
+    alone = [(1000 + k, " ".join(rng.choice(words) for _ in range(100))) for k in range(40)]
+    edge = [(2000, None), (2001, " "), (2002, "a b"), (2003, "A  B"), (None, "x y z u v w")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows + alone + edge], "doc_id long, text string, p0 int").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
+    assert len(got) == len(rows) + len(alone) + len(edge)
+    assert sum(got[i] == groups[i] for i in groups) >= 0.97 * len(groups)
+    assert all(got[i] == i for i, _ in alone) and got[2001] == 2000 and got[2003] == 2002 and got[None] is None
+    assert similar_documents(df.where("false")).count() == 0
