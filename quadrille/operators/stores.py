@@ -70,10 +70,10 @@ class QuadStore:
     """A DataFrame (s, p, o, g) of term strings; ``stats`` orders joins.
 
     ``many_graphs`` False promises that no triple is in two graphs, so the union of all needs no
-    de-duplication."""
+    de-duplication. ``lax``: a plain literal in a pattern also matches typed ones of the same form."""
 
-    def __init__(self, quads: DataFrame, many_graphs: bool = True, stats: dict[str, tuple[int, int, int]] | None = None):
-        self.quads, self.many_graphs, self.stats = quads, many_graphs, stats or {}
+    def __init__(self, quads: DataFrame, many_graphs: bool = True, stats: dict[str, tuple[int, int, int]] | None = None, lax: bool = False):
+        self.quads, self.many_graphs, self.stats, self.lax = quads, many_graphs, stats or {}, lax
         self.spark: SparkSession = quads.sparkSession
 
     def triples(self, data: Dataset = Dataset()) -> DataFrame:
@@ -87,6 +87,9 @@ class QuadStore:
     def scan(self, t: Triple, data: Dataset) -> Solutions:
         slots = [(t.s, F.col("s"), DYNAMIC), (t.p, F.col("p"), DYNAMIC), (t.o, F.col("o"), DYNAMIC)]
         df = self.quads
+        if self.lax and isinstance(t.o, Literal) and not t.o.dt and not t.o.lang:
+            df = df.where(T.is_literal(F.col("o")) & (T.lex(F.col("o")) == t.o.lex) & (T.lang(F.col("o")) == ""))
+            slots.pop()
         if data.graph is not None:
             if data.named is not None:
                 df = df.where(F.col("g").isin([f"<{g}>" for g in data.named]))

@@ -49,6 +49,12 @@ def test_graphs(spark):
     assert rows(run(spark, "SELECT ?x { ?x :p :a }", strict=True)) == [("x",)]
 
 
+def test_lax_datatypes(spark):
+    data = Graph.of(spark, [(i("a"), i("v"), Literal("1")), (i("b"), i("v"), Literal("1", "http://t")), (i("c"), i("v"), Literal("1", "", "en"))])
+    for lax, want in ((False, [("a",)]), (True, [("a",), ("b",)])):
+        assert rows(Engine(QuadStore(data.quads_df, lax=lax), {"": E}).query("SELECT ?x { ?x :v '1' }")) == want
+
+
 def test_modifiers(spark):
     assert [decode(r[0]).lex for r in run(spark, "SELECT ?v { ?x :q ?v } ORDER BY DESC(?v)").df.collect()] == ["3", "2", "1"]
     assert [decode(r[0]).lex for r in run(spark, "SELECT ?v { ?x :q ?v } ORDER BY ?v OFFSET 1").df.collect()] == ["2", "3"]

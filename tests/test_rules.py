@@ -177,6 +177,12 @@ def test_closed_world_restrictions(spark):
     assert {s for s, o in out if o == "NoExclusion"} == {"a"}
 
 
+def test_nominals(spark):
+    onto = "[ owl:intersectionOf ( :C [ owl:onProperty :p; owl:allValuesFrom [ owl:oneOf ( :i1 ) ] ] ) ] rdfs:subClassOf :Foo ."
+    out = derived(spark, onto, ":x a :C; :p :i1 . :y a :C; :p :i2 .")
+    assert {s for s, o in out if o == "Foo"} == {"x"}
+
+
 def test_rdfs_and_pd_rules(spark):
     data = ":a :p :b . :p rdfs:subPropertyOf :q . :q rdfs:domain :C . :C rdfs:subClassOf :D . :D rdfs:subClassOf :E ."
     assert {("a", x) for x in "CDE"} <= has(closure(facts(spark, data), owl.RDFS_RULES), "a")
