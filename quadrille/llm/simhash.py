@@ -13,11 +13,12 @@ table. Small postings compare neighbours at each distance; larger ones look up t
 member, so no posting emits anything but links. Links join fingerprints by their smallest document,
 and components come from repeated distributed joins.
 
-``similar_documents`` is for lower similarities, which no few bits of 64 express: 384-bit fingerprints of
-48 positional bytes, posted under fixed choices of ``key_bytes`` positions. Documents that share a posting
-are compared by all their bits. At a Jaccard similarity of 0.8 about nine pairs of ten meet in a posting,
-at 0.9 nearly all. ``256 ** key_bytes`` should be no less than the number of distinct fingerprints, so
-that documents seldom meet by chance.
+``similar_documents`` is for lower similarities, which no few bits of 64 express: an exact join on the
+shingle sets. Shingles are ordered by the number of sets that hold them, rarest first; two sets of the
+similarity share one among the first ``size - ceil(similarity * size) + 1`` of both. Those prefixes are
+posted, and every pair of a posting that its sizes and places allow is compared by the whole sets, so
+links are neither missed nor added but for collisions of 64-bit hashes. A passage that many documents share
+comes last in the order, behind what a document has alone.
 
 Edge cases: a text with fewer words than a shingle is one shingle; one without words, or null, has
 fingerprint zero and links like any other; a null id counts as larger than any other; repeated rows
@@ -183,11 +184,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2) -> Dat
 
 # -- by similarity -------------------------------------------------------------------------------
 
-LANES = 6  # of 64 bits
-_LANE_SEEDS = [U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C)]
+_SET_SEED = U64(0x243F6A8885A308D3)
+_SLACK = 1e-9  # of float products such as 0.8 * 5
+_PAIRS = 1 << 20
 
 
-def _wide(shingle: int):
+def _sets(shingle: int):
+    """Over batches (doc_id, text): per piece its ids, each row's key and size, and the distinct shingles of
+    the rows one after the other. The key is a hash of the set, 0 for an empty one."""
+
     def run(batches):
         for piece in pieces(batches, "text", 1 << 20):
             data, off = text_bytes(piece.column(1))
@@ -198,95 +203,180 @@ def _wide(shingle: int):
             at = np.flatnonzero(same_row(row, shingle))
             value, owner = (windows(h, shingle)[at], row[at]) if len(at) else (np.zeros(0, U64), at)
             words = np.bincount(row, minlength=n)
-            for k in np.flatnonzero((words > 0) & (words < shingle)):  # fewer words: one shingle
-                own = h[np.searchsorted(row, k) :][: words[k]]
-                value, owner = np.append(value, windows(own, len(own))), np.append(owner, k)
-            order = np.argsort(owner, kind="stable")
+            short = np.flatnonzero((words > 0) & (words < shingle))  # fewer words: one shingle
+            own = [windows(h[(a := np.searchsorted(row, k)) : a + words[k]], int(words[k])) for k in short]
+            value, owner = np.concatenate([value, *own]), np.concatenate([owner, short])
+            order = np.lexsort((value, owner))
             value, owner = value[order], owner[order]
+            new = np.ones(len(value), bool)
+            new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+            value, owner = value[new], owner[new]
             count = np.bincount(owner, minlength=n)
             have = np.flatnonzero(count)
-            first = np.append(0, np.cumsum(count))[:-1][have]
-            lanes = np.zeros((LANES, n), np.uint64)
-            for k in range(LANES if len(have) else 0):
-                lanes[k, have] = _majority(mix(value ^ _LANE_SEEDS[k]), first, count[have])
-            yield pa.record_batch([piece.column(0).cast(pa.int64()), *[pa.array(x.view(np.int64)) for x in lanes]], ["doc_id", *[f"p{k}" for k in range(LANES)]])
+            key = np.zeros(n, U64)
+            if len(have):
+                first = np.append(0, np.cumsum(count))[:-1][have]
+                key[have] = mix(np.add.reduceat(mix(value ^ _SET_SEED), first) ^ count[have].astype(U64))
+            yield piece.column(0), key.view(np.int64), count, value.view(np.int64)
 
     return run
 
 
-def _postings(n: int, key_bytes: int) -> np.ndarray:
-    """The fixed choices of byte positions."""
-    rng = np.random.default_rng(7)
-    return np.array([rng.choice(8 * LANES, key_bytes, replace=False) for _ in range(n)])
+def _keys(shingle: int):
+    def run(batches):
+        for ids, key, _, _ in _sets(shingle)(batches):
+            yield pa.record_batch([ids.cast(pa.int64()), pa.array(key)], ["doc_id", "key"])
 
+    return run
 
-def _posted(n: int, key_bytes: int):
+
+def _members(shingle: int):
     def run(batches):
-        choice = _postings(n, key_bytes)
-        for b in batches:
-            lanes = np.stack([b.column(k).to_numpy() for k in range(LANES)], axis=1)
-            each = np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1)
-            rep = b.column(LANES).to_numpy()
-            for a in range(0, len(each), 2048):
-                key = np.broadcast_to(np.arange(n, dtype=np.int64), (len(each[a : a + 2048]), n)).copy()
-                for j in range(key_bytes):
-                    key = key << 8 | each[a : a + 2048][:, choice[:, j]]
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(rep[a : a + 2048], n))], ["key", "rep"])
+        for _, key, count, value in _sets(shingle)(batches):
+            yield pa.record_batch([pa.array(value), pa.array(np.repeat(key, count)), pa.array(np.repeat(count, count).astype(np.int32))], ["shingle", "key", "size"])
 
     return run
 
 
-def _meetings(batches):
-    """Pairs that meet in a posting: all of a small one's; in a larger one each document with the first and
-    with the next, which joins them all the same where they are alike."""
-
-    def out(key, rep):
-        new = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(key)))
-        group = np.cumsum(new) - 1
-        a, b = [], []
-        for lag in range(1, int(size[size <= 32].max(initial=1))):
-            i = np.flatnonzero((group[:-lag] == group[lag:]) & (size[group[:-lag]] <= 32))
-            a.append(rep[i])
-            b.append(rep[i + lag])
-        big = np.flatnonzero(size[group] > 32)
-        if len(big):
-            a += [rep[first[group[big]]], rep[big[:-1]][group[big[:-1]] == group[big[1:]]]]
-            b += [rep[big], rep[big[1:]][group[big[:-1]] == group[big[1:]]]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        keep = a != b
-        return pa.record_batch([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
-
-    held = None
+def _whole(batches):
+    """The sorted rows as arrays of whole groups: rows equal in the first column stay together."""
+    held = []
     for batch in batches:
-        key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if held is not None:
-            key, rep = np.concatenate([held[0], key]), np.concatenate([held[1], rep])
-        cut = int(np.searchsorted(key, key[-1]))
+        if not batch.num_rows:
+            continue
+        values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cut = batch.num_rows if held and held[-1][0][-1] == values[0][-1] else 0
+        cut = 0 if cut else int(np.searchsorted(values[0], values[0][-1]))
         if cut:
-            yield out(key[:cut], rep[:cut])
-        held = key[cut:], rep[cut:]
-    if held is not None and len(held[0]):
-        yield out(*held)
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in values])]
+            held = []
+        elif held and held[-1][0][-1] != values[0][0]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([c[cut:] for c in values])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _repeated(batches):
+    """Of rows (shingle, key, size) in order of shingle and key: those of shingles that more than one key has,
+    with the number of keys."""
+    for shingle, key, size in _whole(batches):
+        new = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+        shingle, key, size = shingle[new], key[new], size[new]
+        count = np.repeat(c := _runs(shingle)[1], c)
+        i = np.flatnonzero(count > 1)
+        yield pa.record_batch([pa.array(x) for x in (key[i], count[i].astype(np.int64), shingle[i], size[i])], ["key", "n", "shingle", "size"])
+
+
+def _candidates(similarity: float):
+    """Over rows (key, n, shingle, size) in that order: the sets that can have a partner, with their repeated
+    shingles and how many of them, rarest first, are in the prefix. Shingles that no other set has come
+    first in the order; where they fill the prefix there is no partner."""
+
+    def run(batches):
+        for key, _, shingle, size in _whole(batches):
+            first, length = _runs(key)
+            size = size[first].astype(np.int64)
+            single = size - length
+            prefix = size - np.ceil(similarity * size - _SLACK).astype(np.int64) + 1 - single
+            for a in range(0, len(first), 256):
+                i = np.flatnonzero(prefix[a : a + 256] > 0) + a
+                if len(i):
+                    sets = pa.array([shingle[first[k] : first[k] + length[k]] for k in i], pa.list_(pa.int64()))
+                    yield pa.record_batch([pa.array(key[first[i]]), pa.array(size[i].astype(np.int32)), pa.array(np.minimum(prefix, length)[i].astype(np.int32)), sets], ["key", "size", "prefix", "shingles"])
+
+    return run
+
+
+def _neighbours(batches):
+    """Of rows (shingle, size, key, ...) in that order: each key with the next of its posting."""
+    for shingle, _, key, *_ in _whole(batches):
+        i = np.flatnonzero(shingle[:-1] == shingle[1:])
+        yield pa.record_batch([pa.array(np.minimum(key[i], key[i + 1])), pa.array(np.maximum(key[i], key[i + 1]))], ["a", "b"])
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, postings: int = 160, key_bytes: int = 3) -> DataFrame:
+def _pairs(similarity: float):
+    """Of rows (shingle, size, key, left, component) in that order, ``left`` being the members of the set from the
+    shingle on: all pairs of a posting that are not joined yet and can have the similarity by their sizes and
+    by what is left of both."""
+
+    def run(batches):
+        for shingle, size, key, left, component in _whole(batches):
+            first, length = _runs(shingle)
+            end = np.repeat(first + length, length)
+            most = np.floor(size / similarity + _SLACK)
+            # rows are in order of size within a posting, so partners of a row are the rows up to some place
+            to = np.arange(len(key))
+            for f, n in zip(first[length > 1].tolist(), length[length > 1].tolist()):
+                to[f : f + n] = f + np.searchsorted(size[f : f + n], most[f : f + n], "right")
+            many = np.maximum(np.minimum(to, end) - np.arange(len(key)) - 1, 0)
+            total = np.cumsum(many)
+            at = 0
+            while at < len(key):
+                stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+                own = many[at:stop]
+                x = np.repeat(np.arange(at, stop), own)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+                need = similarity / (1 + similarity) * (size[x].astype(np.int64) + size[y]) - _SLACK
+                i = (component[x] != component[y]) & (np.minimum(left[x], left[y]) >= need)
+                x, y = x[i], y[i]
+                yield pa.record_batch([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y]))], ["a", "b"])
+                at = stop
+
+    return run
+
+
+def _alike(similarity: float):
+    """Of rows (a, b, size and shingles of both): the pairs of that Jaccard similarity at least. Shingles that
+    only one set has are in no overlap."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            keep = np.zeros(len(a), bool)
+            for k in range(len(a)):
+                both = len(np.intersect1d(batch.column(4)[k].values.to_numpy(), batch.column(5)[k].values.to_numpy(), assume_unique=True))
+                keep[k] = both * (1 + similarity) >= similarity * (int(na[k]) + int(nb[k])) - _SLACK
+            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id and component_id; documents of a Jaccard similarity of their shingles of
-    about ``similarity`` or more are linked."""
-    lanes = [f"p{k}" for k in range(LANES)]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_wide(shingle), "doc_id long, " + ", ".join(f"{p} long" for p in lanes))
-    prints = written(rows, "wide")
-    distinct = written(prints.groupBy(*lanes).agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep")), "distinct")
+    ``similarity`` or more are linked, others are not."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = written(texts.mapInArrow(_keys(shingle), "doc_id long, key long"), "keys")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.select(*lanes, "rep").mapInArrow(_posted(postings, key_bytes), "key long, rep long")
-    met = keys.repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_meetings, "a long, b long").distinct()
-    x, y = (distinct.select(F.col("rep").alias(c), *[F.col(p).alias(c + p) for p in lanes]) for c in "ab")
-    differing = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in lanes[1:]), F.bit_count(F.col("ap0").bitwiseXOR(F.col("bp0"))))
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * LANES
-    most = int(bits * angle + 2 * np.sqrt(bits * angle * (1 - angle)))  # two deviations, so that few true pairs are lost
-    found = written(met.join(x, "a").join(y, "b").where(differing <= most).select("a", "b"), "links")
-    named = components(found)
-    of = distinct.join(named, distinct.rep == named.node, "left").select(*lanes, F.coalesce("component", "rep").alias("component"))
-    return prints.join(of, lanes).select("doc_id", F.when(F.col("component") < NULL_ID, F.col("component")).alias("component_id"))
+    members = texts.mapInArrow(_members(shingle), "shingle long, key long, size int").repartition(parts, "shingle").sortWithinPartitions("shingle", "key")
+    repeated = members.mapInArrow(_repeated, "key long, n long, shingle long, size int").repartition(parts, "key").sortWithinPartitions("key", "n", "shingle")
+    sets = written(repeated.mapInArrow(_candidates(similarity), "key long, size int, prefix int, shingles array<long>"), "sets")
+    posted = sets.select("key", "size", F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("place", "shingle"), F.size("shingles").alias("held"))
+    posted = posted.select("shingle", "size", "key", (F.col("held") - F.col("place")).alias("left"))
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "key")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("key").alias(c), F.col("size").alias("n" + c), F.col("shingles").alias("s" + c)) for c in "ab")
+        both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb")
+        return both.mapInArrow(_alike(similarity), "a long, b long")
+
+    # neighbours first: they join most of a large group, whose other pairs then need no look
+    near = written(verified(ordered(posted).mapInArrow(_neighbours, "a long, b long")), "links")
+    joined = written(components(near), "joined")
+    known = posted.join(joined, posted.key == joined.node, "left").select("shingle", "size", "key", "left", F.coalesce("component", "key").alias("component"))
+    rest = written(verified(ordered(known).mapInArrow(_pairs(similarity), "a long, b long")), "links")
+    named = components(near.union(rest))
+    of = prints.join(named, prints.key == named.node, "left").select("doc_id", F.coalesce("component", "key").alias("component"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return of.join(least, "component").select("doc_id", "component_id")

@@ -93,3 +93,40 @@ def test_similar_documents(spark):
     assert sum(got[i] == groups[i] for i in groups) >= 0.97 * len(groups)
     assert all(got[i] == i for i, _ in alone) and got[2001] == 2000 and got[2003] == 2002 and got[None] is None
     assert similar_documents(df.where("false")).count() == 0
+
+
+def jaccard_components(rows, similarity=0.8):
+    """Brute force: the smallest id of each component of the pairs alike by five-word shingles."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    of = {i: i for i in sets}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                x, y = sorted((root(i), root(j)))
+                of[y] = x
+    return {i: root(i) for i in sets}
+
+
+def test_similar_documents_that_share_a_passage(spark):
+    """Postings of far more than 32 members, with pairs of 0.8 to 0.9 planted among them."""
+    from quadrille.llm.simhash import similar_documents
+
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = fresh(140), []
+    for k in range(400):
+        own = passage + fresh(60)
+        rows.append((2 * k, " ".join(own)))
+        if k < 60:
+            own[-(8 + k % 12) :] = fresh(8 + k % 12)
+            rows.append((2 * k + 1, " ".join(own)))
+    want = jaccard_components(rows)
+    assert sum(want[i] != i for i in want) == 60
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
