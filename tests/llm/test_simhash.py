@@ -130,3 +130,22 @@ def test_similar_documents_that_share_a_passage(spark):
     assert sum(want[i] != i for i in want) == 60
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == want
+
+
+def test_similar_documents_below_the_limit_stay(spark):
+    """Pairs of 0.5 to 0.78 aren't linked, nor are chains of them; pairs of 0.8 and a bit are."""
+    from quadrille.llm.simhash import similar_documents
+
+    rng = random.Random(22)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, low = [], 0
+    for k in range(240):
+        own, new = fresh(204), 22 + k % 46  # of 200 shingles; so many at the end differ
+        if k % 2:
+            new = 14 + k % 9
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-new] + fresh(new)))]
+        low += (200 - new) / (200 + new) < 0.8
+    want = jaccard_components(rows)
+    assert low > 100 and sum(want[i] != i for i in want) == 240 - low
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
