@@ -230,28 +230,31 @@ def closure(facts: DataFrame, rules: list[Rule], **options) -> DataFrame:
     return Engine(rules, **options).run(facts).known
 
 
-def proof(inference: Inference, s, p, o, depth: int = 50) -> dict | None:
-    """How a triple came about, as nested dictionaries down to facts; looks up one level of premises at a time."""
+def proof(inference: Inference, s, p, o) -> dict | None:
+    """How a triple came about, as nested dictionaries down to facts; looks up one level of premises at a time,
+    until none is left. Steps already seen aren't looked up again, which ends cycles."""
     goal = tuple(encode(t) for t in (s, p, o))
     steps: dict[tuple, tuple] = {}
-    wanted, k = {goal}, 0
-    while wanted and k < depth:
+    wanted = {goal}
+    while wanted:
         ask = inference.derived.sparkSession.createDataFrame(sorted(wanted), "s string, p string, o string")
         found = inference.derived.join(F.broadcast(ask), TRIPLE).collect()
         for r in found:
             steps[(r["s"], r["p"], r["o"])] = (r["rule"], [tuple(x) for x in r["premises"]])
         wanted = {x for r in found for x in map(tuple, r["premises"])} - set(steps)
-        k += 1
     if goal not in steps and not inference.known.where((F.col("s") == goal[0]) & (F.col("p") == goal[1]) & (F.col("o") == goal[2])).limit(1).count():
         return None
 
-    def node(t: tuple, above: frozenset) -> dict:
-        if t not in steps or t in above:
-            return {"triple": t}
-        rule, premises = steps[t]
-        return {"triple": t, "rule": rule, "premises": [node(x, above | {t}) for x in premises]}
-
-    return node(goal, frozenset())
+    tree = {"triple": goal}
+    left = [(tree, frozenset())]  # no recursion, since proofs may be deeper than Python's stack
+    while left:
+        node, above = left.pop()
+        t = node["triple"]
+        if t in steps and t not in above:
+            node["rule"], premises = steps[t]
+            node["premises"] = [{"triple": x} for x in premises]
+            left += [(x, above | {t}) for x in node["premises"]]
+    return tree
 
 
 __all__ = ["Engine", "Inference", "Iri", "NoFixpoint", "NotStratified", "closure", "dependencies", "proof", "skolem", "stratify"]

@@ -132,6 +132,22 @@ def test_proofs(spark):
     assert proof(out, i("c"), i("anc"), i("a")) is None and sum(out.firings.values()) == out.derived.count() == 3
 
 
+def test_proof_of_many_levels(spark):
+    """A chain of 60 steps is shown down to its fact, one with a cycle ends."""
+    from quadrille.rules.engine import Inference
+
+    at = lambda k: (f"<{E}n{k}>", f"<{E}p>", f"<{E}o>")
+    schema = "s string, p string, o string, rule string, premises array<struct<s:string,p:string,o:string>>"
+    steps = [(*at(k), "r", [at(k + 1)]) for k in range(60)] + [(*at(100), "r", [at(101)]), (*at(101), "r", [at(100)])]
+    derived = spark.createDataFrame(steps, schema).coalesce(1).cache()
+    out = Inference(derived, derived.select("s", "p", "o"), 60, {})
+    node, levels = proof(out, i("n0"), i("p"), i("o")), 0
+    while "premises" in node:
+        (node,), levels = node["premises"], levels + 1
+    assert levels == 60 and node["triple"] == at(60)
+    assert proof(out, i("n100"), i("p"), i("o"))["premises"][0]["premises"] == [{"triple": at(100)}]
+
+
 def test_normal_forms():
     a, b, c, d = (R.Atom(Var("x"), Iri(TYPE), i(n)) for n in "abcd")
     assert len(R.horn(R.And((a, R.Or((b, c)))), d)) == 2
