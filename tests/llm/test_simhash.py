@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from quadrille.llm.simhash import NULL_ID, links, near_duplicates
+from quadrille.llm.simhash import links, near_duplicates
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -60,15 +60,30 @@ def test_links(spark, bits):
     prints |= {centre ^ k for k in range(150)}
     prints = sorted(prints)
     rows = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(prints)]
-    got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in links(spark.createDataFrame(rows, "fp long, rep long"), bits).collect())
     want = [(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= bits]
-    assert got == want
+    for split in (1 << 16, 30):  # large postings are split by further positions
+        got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in links(spark.createDataFrame(rows, "fp long, rep long"), bits, split).collect())
+        assert got == want
+
+
+def test_every_guaranteed_pair_meets():
+    from itertools import combinations
+
+    from quadrille.llm.simhash import _choices
+
+    for bits, many in ((1, 2), (2, 6), (3, 14)):
+        free = _choices(bits)
+        assert len(free) == many and all(len(c) == 4 for c in free)
+        assert all(any(set(d) <= set(c) for c in free) for d in combinations(range(8), bits))
 
 
 def test_empty_and_null_id(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = near_duplicates(spark.createDataFrame([(None, "a b c"), (None, "a b c d e f")], "doc_id long, text string")).collect()
-    assert [r.component_id for r in got] == [None, None] and NULL_ID > 0
+    assert [r.component_id for r in got] == [None, None]
+    most = (1 << 63) - 1
+    got = near_duplicates(spark.createDataFrame([(None, "a b c"), (most, "a b c"), (None, "d e f")], "doc_id long, text string")).collect()
+    assert sorted((r.fingerprint, r.component_id) for r in got if r.component_id) == [(got[0].fingerprint, most)] * 2
 
 
 def test_similar_documents(spark):
@@ -128,8 +143,21 @@ def test_similar_documents_that_share_a_passage(spark):
             rows.append((2 * k + 1, " ".join(own)))
     want = jaccard_components(rows)
     assert sum(want[i] != i for i in want) == 60
-    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == want
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for few in (10**6, 0):  # the keys of sets that may have partners are broadcast or joined by a shuffle
+        assert {r.doc_id: r.component_id for r in similar_documents(df, few_keys=few).collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    from quadrille.llm.simhash import without_near_duplicates
+
+    text = lambda a, n=60: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(5, text("a")), (3, text("a") + " more"), (7, text("b")), (7, text("a")), (7, text("b")), (9, None), (8, " "), (None, text("b")), (4, text("c", 3)), (4, text("c", 3)), (6, text("d", 100_000))]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, first int, text_hash string").repartition(3)
+    got = without_near_duplicates(df)
+    assert got.schema == df.schema
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in got.collect()) == [(0, "b0"), (3, "a0"), (4, "c0"), (6, "d0"), (7, "b0"), (8, " ")]
+    assert without_near_duplicates(df.where("false")).count() == 0
 
 
 def test_similar_documents_below_the_limit_stay(spark):
