@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.decontaminate import clean
 from quadrille.llm.packing import pack
 from quadrille.llm.quality_classifier import selected
-from quadrille.llm.simhash import similar_documents
+from quadrille.llm.simhash import without_near_duplicates
 from quadrille.llm.storage import written
 from quadrille.llm.substring_dedup import without_repeats
 
@@ -23,11 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike to 0.8 or more in their five-word shingles the one with the smallest
-    id; one without an id stays."""
-    groups = similar_documents(docs, shingle=5, similarity=0.8)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of documents alike to 0.8 or more in their five-word shingles the one with the smallest id."""
+    return without_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
