@@ -2,34 +2,42 @@
 
 Words are runs of digits, letters and all characters beyond ASCII, lower-cased by Unicode's rules. A document and a
 benchmark item are compared if they share a seed: ``seed`` consecutive words. Tiling then marks, again
-and again, the longest match between words that are not yet marked, down to matches of ``seed`` words;
-matches are found by running Karp-Rabin hashes, first of long windows, then of half as long ones. The
-item's marked share is its coverage; passages in another order still count. A document is contaminated
+and again, the longest match between words that are not yet marked, down to matches of ``seed`` words; of
+equally long ones that which begins first in the item, then in the text. Matches are found by running
+Karp-Rabin hashes of ``seed`` words; equal hashes along a diagonal make up its longest matches, and a match
+of which parts are marked already goes on waiting as what is left of it.
+The item's marked share is its coverage; passages in another order still count. A document is contaminated
 by an item that it covers to at least ``threshold``.
 
-The item side is a stated query set: it is read in blocks of at most ``block_words`` words, and each
-block is sent to the tasks in turn, so its size is bounded. Documents are never shuffled. A tile lies
+The item side is a stated query set: it is read in blocks of at most ``block_words`` words, one at a time. Each
+block is sent to the tasks for one pass over the documents; where there are more, the rows are written between two
+passes, so neither the driver nor a plan ever holds more than one. Documents are never shuffled. A tile lies
 in words that seeds cover, which bounds the coverage from above and leaves tiling to likely pairs.
 
-Edge cases: a null or empty text is not contaminated, coverage 0; an item of fewer words than a seed
-has a seed of all its words; an item without words, or null, matches nothing; a null item id is left
-out; repeated rows give equal rows; empty tables give an empty or a clean result; other columns are
-kept by ``clean`` and ignored by ``overlaps``.
+Edge cases: a null or empty text is not contaminated, coverage 0; a very long text is read whole, a batch of its
+own; an item of fewer words than a seed has a seed of all its words; an item without words, or null, matches
+nothing; a null item id is left out, and items that share an id are judged apart and reported once; repeated rows
+give equal rows; empty tables give an empty or a clean result; other columns are kept by ``clean`` and ignored by
+``overlaps``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import pieces, same_row, spans, text_bytes, windows, word_hashes
+from .storage import written
+from .textscan import mix, pieces, same_row, spans, text_bytes, windows, word_hashes
 
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[48:58] = NOT_WORD[97:123] = NOT_WORD[128:] = False
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,68 +46,59 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), row
 
 
-def _runs(marked: list[bool], s: int):
-    """The stretches of at least ``s`` unmarked places."""
-    at, n = 0, len(marked)
-    while at < n:
-        if marked[at]:
-            at += 1
-            continue
-        to = at
-        while to < n and not marked[to]:
-            to += 1
-        if to - at >= s:
-            yield at, to
-        at = to
-
-
-def _rolling(words: list[int], marked: list[bool], s: int):
-    """(hash, place) of each unmarked window of ``s`` words, each hash from the one before."""
-    top = pow(_BASE, s - 1, _MOD)
-    for a, b in _runs(marked, s):
-        h = 0
-        for k in range(a, b):
-            if k - a >= s:
-                h = (h - words[k - s] * top) % _MOD
-            h = (h * _BASE + words[k]) % _MOD
-            if k - a >= s - 1:
-                yield h, k - s + 1
-
-
-def tiles(pattern: list[int], text: list[int], least: int, start: int = 20) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in pattern, place in text, length), longest first, none overlapping."""
-    found: list[tuple[int, int, int]] = []
-    pm, tm = [False] * len(pattern), [False] * len(text)
-    s = max(least, min(start, len(pattern), len(text)))
-    while True:
-        table: dict[int, list[int]] = {}
-        for h, t in _rolling(text, tm, s):
-            table.setdefault(h, []).append(t)
-        matches, longest = [], 0
-        for h, p in _rolling(pattern, pm, s):
-            for t in table.get(h, ()):
-                k = 0
-                while p + k < len(pattern) and t + k < len(text) and not pm[p + k] and not tm[t + k] and pattern[p + k] == text[t + k]:
-                    k += 1
-                if k >= s:
-                    matches.append((-k, p, t))
-                    longest = max(longest, k)
-        if longest > 2 * s:
-            s = longest
-            continue
-        again = False
-        for k, p, t in sorted(set(matches)):
-            k = -k
-            if any(pm[p : p + k]) or any(tm[t : t + k]):
-                again = True  # occluded: what is left of it is found in the next scan
-                continue
-            pm[p : p + k] = tm[t : t + k] = [True] * k
-            found.append((p, t, k))
-        if again and matches:
+def _rolling(words: np.ndarray, n: int) -> np.ndarray:
+    """The Karp-Rabin hash of each window of ``n`` words, modulo 2^64, each from the one before: a prefix sum of
+    the words times growing powers, less that before the window, is the window's hash times its first power."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    power = np.ones(len(words) + 1, np.uint64)
+    power[1:] = np.uint64(_BASE)
+    power = np.cumprod(power)
+    inverse = np.ones(len(words), np.uint64)
+    inverse[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
+    inverse = np.cumprod(inverse)
+    sums = np.append(np.uint64(0), np.cumsum(words * power[: len(words)]))
+    return (sums[n:] - sums[:-n]) * inverse[: len(words) - n + 1]
+
+
+def _diagonals(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(-length, place in pattern, place in text) of the matches of ``least`` words or more that can't be longer."""
+    a, b = _rolling(pattern, least), _rolling(text, least)
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    many = high - low
+    p = np.repeat(np.arange(len(a)), many)
+    t = order[np.repeat(low, many) + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)]
+    for k in range(least):  # hashes nominate, words decide
+        same = pattern[p + k] == text[t + k]
+        p, t = p[same], t[same]
+    by = np.lexsort((p, t - p))
+    p, t = p[by], t[by]
+    first = np.flatnonzero(np.append(True, (np.diff(t - p) != 0) | (np.diff(p) != 1))) if len(p) else p
+    size = np.diff(np.append(first, len(p))) + least - 1
+    return list(zip((-size).tolist(), p[first].tolist(), t[first].tolist()))
+
+
+def tiles(pattern, text, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of 64-bit words: (place in pattern, place in text, length), longest
+    first, none overlapping."""
+    pattern, text = (np.asarray(x).astype(np.uint64) for x in (pattern, text))
+    waiting = _diagonals(pattern, text, least)
+    heapify(waiting)
+    free_p, free_t = np.ones(len(pattern), bool), np.ones(len(text), bool)
+    found = []
+    while waiting:
+        size, p, t = heappop(waiting)
+        free = free_p[p : p - size] & free_t[t : t - size]
+        if free.all():
+            found.append((p, t, -size))
+            free_p[p : p - size] = free_t[t : t - size] = False
             continue
-        if s <= least:
-            return found
-        s = s // 2 if s > 2 * least else least
+        edge = np.flatnonzero(np.diff(free, prepend=False, append=False))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a >= least:
+                heappush(waiting, (a - b, p + a, t + a))
+    return found
 
 
 class Block:
@@ -149,56 +148,62 @@ class Block:
                 if (np.cumsum(covered)[:-1] > 0).sum() < threshold * len(pattern):
                     continue
                 spots = np.unique((where[a:b, None] + np.arange(n)).ravel())
-                text: list[int] = []
-                for j, x in enumerate(spots):
-                    if j and x != spots[j - 1] + 1:
-                        text.append(-len(text) - 1)  # a gap matches nothing
-                    text.append(int(h[x]))
-                marked = sum(t[2] for t in tiles(pattern.tolist(), text, n))
+                gaps = np.flatnonzero(np.diff(spots) != 1) + 1
+                text = np.insert(h[spots], gaps, mix(~np.arange(len(gaps)).astype(np.uint64)))  # a gap matches nothing
+                marked = sum(t[2] for t in tiles(pattern, text, n))
                 if marked >= threshold * len(pattern):
                     out[int(row[where[a]])].append((self.ids[k], marked / len(pattern)))
         return out
 
 
-def blocks(items: DataFrame, seed: int = 5, block_words: int = 1 << 20) -> list[Block]:
-    """The items (item_id, text), read one after another, in blocks of at most ``block_words`` words."""
-    found, ids, texts, size = [], [], [], 0
+def blocks(items: DataFrame, seed: int = 5, block_words: int = 1 << 20) -> Iterator[Block]:
+    """The items (item_id, text), read one after another, in blocks of at most ``block_words`` words. A longer
+    item is a block of its own."""
+    ids, texts, size = [], [], 0
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = len(r["text"].split()) + 1
         if ids and size + n > block_words:
-            found.append(Block(ids, texts, seed))
+            yield Block(ids, texts, seed)
             ids, texts, size = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         size += n
-    return found + ([Block(ids, texts, seed)] if ids else [])
+    if ids:
+        yield Block(ids, texts, seed)
 
 
-def _over(block: Block, threshold: float):
-    def run(batches):
-        for piece in pieces(batches, "text", 2 << 20):
-            names = piece.schema.names
-            hits = block.scan(piece.column(names.index("text")), threshold)
-            best = [max(c, max((x for _, x in h), default=0.0)) for c, h in zip(piece.column(names.index("coverage")).to_pylist(), hits)]
-            have = [sorted({*i, *(x for x, _ in h)}) for i, h in zip(piece.column(names.index("item_ids")).to_pylist(), hits)]
-            cols = {n: piece.column(k) for k, n in enumerate(names)} | {"coverage": pa.array(best, pa.float64()), "item_ids": pa.array(have, pa.list_(pa.int64()))}
-            yield pa.record_batch([cols[n] for n in names], names)
-
-    return run
+def _passes(rows: DataFrame, items: DataFrame, seed: int, block_words: int, over) -> DataFrame:
+    """``over`` each block in turn; between two of them the rows are written."""
+    first = True
+    for block in blocks(items, seed, block_words):
+        rows = (rows if first else written(rows, "pass")).mapInArrow(over(block), rows.schema)
+        first = False
+    return rows
 
 
 def overlaps(docs: DataFrame, items: DataFrame, threshold: float = 0.8, seed: int = 5, block_words: int = 1 << 20) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, the best coverage that reaches the threshold (else 0) and the item_ids."""
+
+    def over(block: Block):
+        def run(batches):
+            for piece in pieces(batches, "text", 2 << 20):
+                hits = block.scan(piece.column(1), threshold)
+                best = [max(c, max((x for _, x in h), default=0.0)) for c, h in zip(piece.column(2).to_pylist(), hits)]
+                have = [sorted({*i, *(x for x, _ in h)}) for i, h in zip(piece.column(3).to_pylist(), hits)]
+                yield pa.record_batch([piece.column(0), piece.column(1), pa.array(best, pa.float64()), pa.array(have, pa.list_(pa.int64()))], names)
+
+        return run
+
+    names = ["doc_id", "text", "coverage", "item_ids"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("coverage"), F.array().cast("array<long>").alias("item_ids"))
-    for block in blocks(items, seed, block_words):
-        rows = rows.mapInArrow(_over(block, threshold), "doc_id long, text string, coverage double, item_ids array<long>")
+    rows = _passes(rows, items, seed, block_words, over)
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "coverage", "item_ids")
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, seed: int = 5, block_words: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
 
-    def without(block: Block):
+    def over(block: Block):
         def run(batches):
             for piece in pieces(batches, "text", 2 << 20):
                 hits = block.scan(piece.column(piece.schema.names.index("text")), threshold)
@@ -206,6 +211,4 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, seed: int =
 
         return run
 
-    for block in blocks(items, seed, block_words):
-        docs = docs.mapInArrow(without(block), docs.schema)
-    return docs
+    return _passes(docs, items, seed, block_words, over)

@@ -23,6 +23,10 @@ def plain(pattern, text, least):
         total.append(k)
 
 
+def parts(found):
+    return sorted(k for *_, k in found)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_tiles_are_greedy(seed):
     rng = random.Random(seed)
@@ -34,18 +38,61 @@ def test_tiles_are_greedy(seed):
         text[rng.randrange(len(text)) :][:0] = pattern[a : a + rng.randrange(1, 30)]
         text += pattern[a : a + 12]
     least = rng.choice([2, 3, 5])
-    found = tiles(pattern, text, least, start=rng.choice([4, 20]))
+    found = tiles(pattern, text, least)
     seen_p, seen_t = set(), set()
     for p, t, k in found:
         assert pattern[p : p + k] == text[t : t + k] and k >= least
         assert not seen_p & {*range(p, p + k)} and not seen_t & {*range(t, t + k)}
         seen_p |= {*range(p, p + k)}
         seen_t |= {*range(t, t + k)}
-    want = plain(pattern, text, least)
-    assert max((k for *_, k in found), default=0) == max(want, default=0)
-    left_p = [x if i not in seen_p else -1 - i for i, x in enumerate(pattern)]
-    left_t = [x if i not in seen_t else -1000 - i for i, x in enumerate(text)]
-    assert plain(left_p, left_t, least) == []  # nothing that could still be marked is left
+    assert parts(found) == plain(pattern, text, least)
+
+
+def test_tiles_of_small_alphabets():
+    """Many ties and occluded matches: all lengths are those of the plain version."""
+    rng = random.Random(77)
+    for _ in range(1500):
+        letters = range(rng.randrange(2, 7))
+        pattern, text = ([rng.choice(letters) for _ in range(rng.randrange(1, 26))] for _ in "pt")
+        assert parts(tiles(pattern, text, 2)) == plain(pattern, text, 2)
+
+
+def test_tiles_of_one_word():
+    assert parts(tiles([1] * 40, [1] * 8000, 5)) == [40] and parts(tiles([1] * 8000, [1] * 40, 5)) == [40]
+    assert tiles([], [1, 2, 3], 2) == tiles([1], [1], 2) == []
+
+
+def covered(item, text, seed=5):
+    """The marked share of an item, from the whole texts."""
+    n = min(seed, len(item))
+    return sum(plain(item, text, n)) / len(item) if item else 0.0
+
+
+def test_coverage_against_brute_force(spark):
+    """Reordered, cut and diluted passages; coverage on both sides of the threshold, ties, repeated rows, clashing columns."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randrange(1, 40))] for _ in range(8)] + [["w1"] * 20]
+    rows = []
+    for k in range(70):
+        w = [rng.choice(words) for _ in range(rng.randrange(0, 60))]
+        own = items[k % 9]
+        cuts = sorted(rng.randrange(len(own) + 1) for _ in range(rng.randrange(0, 3)))
+        pieces = [own[a:b] for a, b in zip([0, *cuts], [*cuts, len(own)])]
+        rng.shuffle(pieces)
+        for x in pieces[: rng.randrange(len(pieces) + 1)]:
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = x
+        rows.append((k, " ".join(w)))
+    rows += [rows[3], (900, " ".join(["w1"] * 5000 + [f"x{k}" for k in range(100_000)]))]
+    df = spark.createDataFrame([(i, t, 1, "b") for i, t in rows], "doc_id long, text string, contaminated int, item_id string")
+    bench = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(items)], "item_id long, text string, doc_id string")
+    got = {r.doc_id: r for r in overlaps(df, bench).collect()}
+    for i, t in rows:
+        have = {k: covered(w, t.split()[:6000]) for k, w in enumerate(items)}
+        have = {k: c for k, c in have.items() if c >= 0.8}
+        assert got[i].item_ids == sorted(have) and abs(got[i].coverage - max(have.values(), default=0)) < 1e-12
+    assert sum(r.contaminated for r in got.values()) > 10 and sum(not r.contaminated for r in got.values()) > 10
 
 
 def test_documents(spark):

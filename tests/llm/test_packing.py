@@ -45,13 +45,12 @@ def test_plan_is_best_fit_decreasing(seed):
 
 def test_round_trip(spark):
     rng = random.Random(1)
-    texts = [None, "", " ", "a", "Ünïcode 的　x\r\n", "<|endoftext|> it's", "x" * 5000, " " * 3000]
+    texts = [None, "", " ", "a", "Ünïcode 的　x\r\n", "<|endoftext|> it's", "a <|endoftext|>b<|endoftext|>", "<|endoftext |>", "x" * 5000, " " * 3000]
     texts += [" ".join(rng.choice(["the", "Größe", "ab12", "...", "\n"]) for _ in range(rng.choice([3, 100, 3000, 9000]))) for _ in range(40)]
     rows = [(k, t, 7) for k, t in enumerate(texts)] + [(3, "a", 7), (None, "null id", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(3)
     got = pack(df).toPandas()
     exact = Tokenizer.from_file(default_tokenizer()[0])
-    exact.encode_special_tokens = True
     for i, t, _ in rows[:-2]:
         ids = np.array([*exact.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         own = got[got.doc_id == i].drop_duplicates(["start"]).sort_values("start")
@@ -63,3 +62,14 @@ def test_round_trip(spark):
         assert (g.offset.to_numpy() == np.append(0, g.length.cumsum()[:-1])).all() and g.length.sum() <= g.sequence_length.iloc[0] <= 2048
     assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_the_small_table(spark):
+    """Every document's ids, by their CRC, against the vocabulary file's own encoder."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    exact = Tokenizer.from_file(default_tokenizer()[0])
+    got = pack(docs).toPandas().sort_values("start").groupby("doc_id")
+    for r in docs.collect():
+        ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        own = got.get_group(r.doc_id)
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length)] == own.ids_crc32.tolist() and own.length.sum() == len(ids)
