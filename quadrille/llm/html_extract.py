@@ -1,17 +1,24 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block elements. First pass: blocks in elements that never hold article
-text (navigation, footers, asides, forms, and those whose class or id names them as adverts, notices,
-sidebars or comments) and blocks that are mostly links are boilerplate; long blocks are article text by
-their length and stop-word density; the rest, short or without known words, stay undecided. Second
-pass: an undecided block takes the label of its nearest decided neighbours within the same section;
-where these disagree, or there are none, the section decides: an article is text, what lies beside one
-is not.
+A page is cut into blocks at block elements. What elements that never hold article text contain (navigation, footers,
+asides, forms, hidden parts, and those whose class or id names them as adverts, notices, sidebars or comments) is set
+apart: no text, and no evidence for others.
+
+First pass, by density: blocks that are mostly links are boilerplate; long blocks with the stop-word density of prose are
+article text, and so are shorter ones of twice that density; the rest, short or without known words, stay ambiguous.
+
+Second pass: an ambiguous block inherits the label of its nearest decided neighbour, the last one before or the
+first one after it in the same section (an article or main element, or what lies outside all of them). Nearness is
+the number of element borders between two blocks, then the number of blocks; at equal nearness text wins. Outside of sections
+the page's edge counts as boilerplate, one border more away than the block lies deep in the body. Only where
+no neighbour is decided do elements count: inside an article or main element a block is text; outside it is text only if
+no section has any. On a page without prose (tables, lists, an unknown language) length alone decides and is inherited; if no
+block is long either, all blocks of its sections, or without sections all, that aren't links are text.
 
 Edge cases: a null or empty page gives an empty text and 0 characters; unclosed and stray tags end at
-the end of the page; a page with neither article nor main element is one section that counts as text if any
-of its blocks does; repeated rows give equal rows; an empty table gives an empty result; columns other
-than page_id, url and html are ignored.
+the end of the page, an unclosed hidden inline element at the end of its block; a very long page is a batch of its own and
+takes time in proportion to its blocks; repeated rows give equal rows; an empty table gives an empty result; columns
+other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math textarea canvas audio video head".split())
 APART = frozenset("nav footer aside form button select menu dialog".split())
 SECTION = frozenset(("article", "main"))
+ROOT = frozenset(("html", "body"))
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|replies|reactions|disqus|respond|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
@@ -48,18 +56,40 @@ LONG, SHORT, LINKS, STOPS = 140, 50, 0.34, 0.15
 
 
 class _Block:
-    __slots__ = ("apart", "parts", "linked", "section", "text", "label", "stops")
+    __slots__ = ("apart", "parts", "linked", "section", "path", "text", "label", "long")
+
+    def __init__(self, section: int, apart: bool, path: tuple[int, ...]):
+        self.section, self.apart, self.path, self.parts, self.linked = section, apart, path, [], 0
+
 
-    def __init__(self, section: int, apart: bool):
-        self.section, self.apart, self.parts, self.linked = section, apart, [], 0
+def _apart(name: str, attrs: str) -> bool:
+    """Whether attributes name an element as something that isn't article text."""
+    if not attrs:
+        return False
+    called = " ".join(x for t in NAME.findall(attrs) for x in t if x)
+    return bool((called and name not in ("body", "html", "article", "main") and NAMED.search(called)) or HIDDEN.search(attrs))
+
+
+def _inline_end(page: str, name: str, at: int) -> int:
+    """Where an inline element that begins before ``at`` ends: after its own end tag, or before the block's."""
+    depth = 1
+    for m in TAG.finditer(page, at):
+        other = (m[2] or m[5] or "").lower()
+        if other in BLOCK:
+            return m.start()
+        if other == name:
+            depth += -1 if m[1] or m[4] else 1
+            if not depth:
+                return m.end()
+    return len(page)
 
 
 def blocks(page: str) -> list[_Block]:
     """The non-empty blocks of a page in order."""
     found: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, lies apart, section
-    sections, links = 0, 0
-    block = _Block(0, False)
+    stack: list[tuple[str, bool, int, int]] = []  # name, lies apart, section, number
+    sections, links, number = 0, 0, 0
+    block = _Block(0, False, ())
 
     def close():
         nonlocal block
@@ -67,7 +97,7 @@ def blocks(page: str) -> list[_Block]:
             block.text = " ".join(html.unescape("".join(block.parts)).split())
             if block.text:
                 found.append(block)
-        block = _Block(stack[-1][2] if stack else 0, stack[-1][1] if stack else False)
+        block = _Block(stack[-1][2] if stack else 0, stack[-1][1] if stack else False, tuple(x[3] for x in stack if x[0] not in ROOT))
 
     def put(text: str):
         block.parts.append(text)
@@ -92,15 +122,14 @@ def blocks(page: str) -> list[_Block]:
                 shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = shut.end() if shut else (n if name != "head" else at)
             continue
-        if name == "a":
-            links = 0 if ends else 1
-            continue
         if name == "br":
             put(" ")
             continue
-        if name not in BLOCK and not (name in APART):
-            if not ends and name not in VOID and attrs and HIDDEN.search(attrs):
-                pass
+        if name not in BLOCK and name not in APART:
+            if not ends and name not in VOID and _apart(name, attrs):
+                at = _inline_end(page, name, at)
+            elif name == "a":
+                links = 0 if ends else 1
             continue
         links = 0
         if name == "hr":
@@ -120,57 +149,72 @@ def blocks(page: str) -> list[_Block]:
         if name in SECTION and not inside:
             sections += 1
             inside = sections
-        if not apart:
-            called = " ".join(x for t in NAME.findall(attrs) for x in t if x) if attrs else ""
-            apart = name in APART or name == "title" or (name == "header" and not inside) or bool(attrs and ((called and name not in ("body", "html", "article", "main") and NAMED.search(called)) or HIDDEN.search(attrs)))
-        stack.append((name, apart, inside))
+        apart = apart or name in APART or name == "title" or (name == "header" and not inside) or _apart(name, attrs)
+        number += 1
+        stack.append((name, apart, inside, number))
         close()
     close()
     return found
 
 
+def by_density(b: _Block) -> bool | None:
+    """The first pass: text, boilerplate, or None."""
+    size = len(b.text)
+    if b.linked > LINKS * size and size - b.linked < LONG:
+        return False
+    words = LETTERS.findall(b.text)
+    stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return True if (size >= LONG and stops >= STOPS) or (size >= SHORT and stops >= 2 * STOPS) else None
+
+
+def _borders(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    same = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        same += 1
+    return len(a) + len(b) - 2 * same
+
+
+def by_neighbours(found: list[_Block]) -> list[bool]:
+    """The second pass, over the blocks that aren't set apart."""
+    labels = [b.label for b in found]
+    if not any(labels):  # no prose: length alone
+        labels = [True if x is None and b.long else x for x, b in zip(labels, found)]
+    if not any(labels):
+        sectioned = any(b.section for b in found)
+        return [b.label is None and bool(b.section or not sectioned) for b in found]
+    in_sections = any(b.section and x for b, x in zip(found, labels))
+    decided = list(labels)
+    before: list[int] = []
+    last: dict[int, int] = {}
+    for k, b in enumerate(found):
+        before.append(last.get(b.section, -1))
+        if decided[k] is not None:
+            last[b.section] = k
+    after: list[int] = [-1] * len(found)
+    last = {}
+    for k in range(len(found) - 1, -1, -1):
+        after[k] = last.get(found[k].section, -1)
+        if decided[k] is not None:
+            last[found[k].section] = k
+    for k, b in enumerate(found):
+        if decided[k] is None:
+            near = [(_borders(b.path, found[j].path), abs(j - k), not decided[j]) for j in (before[k], after[k]) if j >= 0]
+            if near and not b.section:
+                near.append((len(b.path) + 1, len(found), True))  # the page's edge
+            labels[k] = not min(near)[2] if near else bool(b.section) or not in_sections
+    return [bool(x) for x in labels]
+
+
 def extract(page: str | None) -> str:
     """The main text of one page, its blocks joined by newlines."""
     if not page:
         return ""
-    found = blocks(page)
-    sectioned = any(b.section for b in found)
+    found = [b for b in blocks(page) if not b.apart]
     for b in found:
-        words = LETTERS.findall(b.text)
-        known = sum(w.lower() in STOP_WORDS for w in words)
-        b.stops = known / len(words) if words else 0.0
-        size = len(b.text)
-        if b.apart or (b.linked > LINKS * size and not (b.section and size - b.linked > LONG)):
-            b.label = False
-        elif size >= LONG and b.stops >= STOPS:
-            b.label = True
-        elif size >= SHORT and b.stops >= 2 * STOPS:
-            b.label = True
-        else:
-            b.label = None
-    kept = []
-    for k, b in enumerate(found):
-        label = b.label
-        if label is None:
-            near = []
-            for step in (-1, 1):
-                j = k + step
-                while 0 <= j < len(found) and found[j].section == b.section:
-                    if found[j].label is not None and not found[j].apart:
-                        near.append((abs(j - k), found[j].label))
-                        break
-                    j += step
-            default = bool(b.section) if sectioned else bool(near) and any(x for _, x in near)
-            low = min((d for d, _ in near), default=0)
-            votes = {x for d, x in near if d == low}
-            label = votes.pop() if len(votes) == 1 else default
-            if b.section and not b.linked and not label:
-                label = default
-        elif sectioned and not b.section:
-            label = False
-        if label:
-            kept.append(b.text)
-    return "\n".join(kept)
+        b.label, b.long = by_density(b), len(b.text) >= LONG
+    return "\n".join(b.text for b, kept in zip(found, by_neighbours(found)) if kept)
 
 
 def _run(batches):
