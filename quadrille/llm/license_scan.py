@@ -1,7 +1,9 @@
 """License notices by an exact set-similarity join, in built-in functions only.
 
-A text block is a line; its tokens are lower-cased words of digits, letters and all characters beyond
-ASCII. A block matches a template if it contains at least ``containment`` of the template's distinct
+A text block is what stands together from a line on: the line itself and, while lines are hard-wrapped (at most
+``WRAPPED`` characters), the next, up to ``LINES`` lines and never past a line without words. So a notice is met whole,
+on one line or wrapped, wherever it begins. A block's tokens are its lower-cased words of digits, letters and all
+characters beyond ASCII. It matches a template if it contains at least ``containment`` of the template's distinct
 tokens. Tokens that no template has can't add to an overlap, so they are left out at once; the others
 are ordered by how many blocks hold them, rarest first. With ``need = ceil(containment * size)``:
 
@@ -11,11 +13,14 @@ are ordered by how many blocks hold them, rarest first. With ``need = ceil(conta
 * position: with a shared token at places i and j (from 0), the overlap is at most
   ``min(i, j) + 1 + min(size - 1 - i, len - 1 - j)``.
 
-What is left is verified by the whole intersection. Templates are few and fixed in the code, so their
-postings are literals of the plan; the frequency table has a row per template token at most.
+What is left is verified by the whole intersection. The texts are read and split once: what each row keeps of
+them, its counts and the blocks that are long enough for any template, is written, and token counts and join read
+that. Templates are few and fixed in the code, so their postings are literals of the plan; the frequency table has a row
+per template token at most.
 
-Edge cases: a null text is empty and has no labels, score 0 and null places; equal rows with one id get
-equal results; an empty table gives an empty result; other columns are ignored.
+Edge cases: a null text is empty and has no labels, score 0 and null places; a very long text has as many blocks as
+lines; templates that tie all give their labels; each row is judged by itself, so rows that share an id, or have
+none, get their own results; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +31,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEMPLATES = [
     ("gpl", "this work is licensed under the gnu general public license"),
@@ -48,7 +56,16 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted"),
     ("proprietary", "all rights reserved no part may be reproduced without written permission"),
 ]
+TEMPLATES += [
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+]
 CONTAINMENT = 0.9
+WRAPPED, LINES = 120, 10
 
 
 def let(value: Column, body) -> Column:
@@ -72,19 +89,31 @@ def _templates(templates, containment: float):
     return out
 
 
-def _blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """(doc_id, same, block): each line's distinct template tokens, where there are enough for any match."""
-    low = lowered(F.col("text"))
-    line = docs.select("doc_id", F.xxhash64("text").alias("same"), F.explode(F.split(low, "\n", -1)).alias("line"))
-    line = line.select("doc_id", "same", F.array_distinct(F.filter(F.split("line", NOT_WORD), lambda w: w.isin(vocabulary))).alias("block"))
-    return line.where(F.size("block") >= least)
+def _blocks(low: Column, vocabulary: list[str], least: int) -> Column:
+    """The distinct template tokens of the block from each line on, where there are enough for any match."""
+    lines = F.transform(
+        F.split(low, "\n", -1),
+        lambda x: F.struct(
+            F.array_distinct(F.filter(F.split(x, NOT_WORD), lambda w: w.isin(vocabulary))).alias("t"),
+            x.rlike(WORD).alias("any"),
+            (F.length(x) <= WRAPPED).alias("goes_on"),
+        ),
+    )
 
+    def more(s: Column, x: Column) -> Column:
+        on = s["goes_on"] & x["any"]
+        return F.struct(F.when(on, F.array_union(s["t"], x["t"])).otherwise(s["t"]).alias("t"), (on & x["goes_on"]).alias("goes_on"))
 
-def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, same, label, containment) of every block and template that match."""
-    parsed = _templates(templates, containment)
-    vocabulary = sorted({w for _, words, _ in parsed for w in words})
-    blocks = _blocks(docs, vocabulary, min(need for *_, need in parsed))
+    def from_line(of: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("t"), F.lit(True).alias("goes_on"))
+        return F.transform(of, lambda _, k: F.aggregate(F.slice(of, k + 1, LINES), start, more, lambda s: s["t"]))
+
+    return F.array_distinct(F.filter(let(lines, from_line), lambda b: F.size(b) >= least))
+
+
+def matches(rows: DataFrame, parsed, vocabulary: list[str]) -> DataFrame:
+    """(row, label, containment) of every block and template that match; ``rows`` has (row, blocks)."""
+    blocks = rows.select("row", F.explode("blocks").alias("block"))
     counted = blocks.select(F.explode("block").alias("token")).groupBy("token").count()
     seen = {r["token"]: r["count"] for r in counted.collect()}  # at most one row for each template token
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
@@ -93,19 +122,19 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     for t, (label, words, need) in enumerate(parsed):
         ranks = sorted(rank[w] for w in words)
         postings += [(t, label, need, ranks, i, r) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     index = spark.createDataFrame(postings, "template int, label string, need int, ranks array<int>, i int, rank int")
     ranked = blocks.where(F.arrays_overlap("block", F.array(*[F.lit(order[r]) for r in sorted({p[5] for p in postings})])))
     to_rank = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    ranked = ranked.select("doc_id", "same", F.array_sort(F.transform("block", lambda w: F.element_at(to_rank, w))).alias("block"))
-    prefix = ranked.select("doc_id", "same", "block", F.posexplode("block").alias("j", "rank"))
+    ranked = ranked.select("row", F.array_sort(F.transform("block", lambda w: F.element_at(to_rank, w))).alias("block"))
+    prefix = ranked.select("row", "block", F.posexplode("block").alias("j", "rank"))
     near = prefix.join(F.broadcast(index), "rank").where(
         (F.size("block") >= F.col("need"))
         & (F.col("j") <= F.size("block") - F.col("need"))
         & (F.least("i", "j") + 1 + F.least(F.size("ranks") - 1 - F.col("i"), F.size("block") - 1 - F.col("j")) >= F.col("need"))
     )
     overlap = F.size(F.array_intersect("block", "ranks"))
-    return near.where(overlap >= F.col("need")).select("doc_id", "same", "label", (overlap / F.size("ranks")).alias("containment"))
+    return near.where(overlap >= F.col("need")).select("row", "label", (overlap / F.size("ranks")).alias("containment"))
 
 
 def _spaces(x: Column) -> Column:
@@ -140,18 +169,22 @@ def phrase_places(words: Column, phrases=tuple(PHRASES)) -> Column:
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Per row of ``docs``: word count, phrase places and labels, and the join's labels with its best containment."""
-    low = lowered(F.col("text"))
+    parsed = _templates(templates, containment)
+    vocabulary = sorted({w for _, words, _ in parsed for w in words})
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("found"))
     words = tokens(F.col("_t"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("same"), low.alias("_t")).select(
-        "doc_id", "same", F.size(words).cast("long").alias("n_words"), F.when(F.col("_t").rlike("license|cc[^0-9a-z]"), phrase_places(words)).otherwise(nothing).alias("b")
+    rows = docs.select("doc_id", lowered(F.col("text")).alias("_t")).select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.size(words).cast("long").alias("n_words"),
+        F.when(F.col("_t").rlike("license|cc[^0-9a-z]"), phrase_places(words)).otherwise(nothing).alias("b"),
+        _blocks(F.col("_t"), vocabulary, min(need for *_, need in parsed)).alias("blocks"),
     )
-    own = matches(docs, templates, containment).groupBy("doc_id", "same").agg(F.collect_set("label").alias("own"), F.max("containment").alias("score"))
-    base, own = base.alias("x"), own.alias("y")
-    joined = base.join(own, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.same") == F.col("y.same")), "left")
+    rows = written(rows, "blocks")
+    own = matches(rows, parsed, vocabulary).groupBy("row").agg(F.collect_set("label").alias("own"), F.max("containment").alias("score"))
     labels = F.array_sort(F.array_union("b.found", F.coalesce("own", F.array().cast("array<string>"))))
-    return joined.select(
-        F.col("x.doc_id").alias("doc_id"),
+    return rows.drop("blocks").join(own, "row", "left").select(
+        "doc_id",
         "n_words",
         F.col("b.n").alias("n_base"),
         F.col("b.first").alias("first_word"),
@@ -163,10 +196,12 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONT
 
 
 def oracle_sql(table: str = "documents", templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
-    """The same for DuckDB, comparing every line with every template in full."""
+    """The same for DuckDB, comparing every block with every template in full. Blocks of lines are found by
+    counting the blank and the long lines before each."""
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOW}')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     rows = ", ".join(f"('{label}', {words!r}, {need})" for label, words, need in _templates(templates, containment))
+    known = ", ".join(f"'{w}'" for w in sorted({w for _, words, _ in _templates(templates, containment) for w in words}))
     places = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM w WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
     )
@@ -176,7 +211,10 @@ w AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_cont
 p AS ({places}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS found FROM p GROUP BY doc_id),
 t(label, words, need) AS (VALUES {rows}),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(lines), '{word}')) AS block FROM d),
+s AS (SELECT doc_id, i, regexp_extract_all(lines[i], '{word}') AS t, length(lines[i]) > {WRAPPED} AS long FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, list_filter(list_distinct(t), lambda x: x IN ({known})) AS t, len(t) AS any_, sum((len(t) = 0)::INT) OVER w AS blank, sum(long::INT) OVER w - long::INT AS long FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l AS (SELECT x.doc_id, x.i, list_distinct(flatten(list(y.t))) AS block FROM r x JOIN r y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {LINES - 1} AND y.blank = x.blank AND y.long = x.long AND y.any_ > 0
+      WHERE x.any_ > 0 GROUP BY x.doc_id, x.i),
 m AS (SELECT doc_id, list(DISTINCT label) AS own, max(len(list_intersect(block, words))::DOUBLE / len(words)) AS score
       FROM l, t WHERE len(list_intersect(block, words)) >= need GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
