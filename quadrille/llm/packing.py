@@ -42,12 +42,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 @lru_cache(maxsize=2)
 def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(json_path)
+    exact = []  # read only where a text needs it
 
     def slow(text: str) -> list[int]:
-        return exact.encode(text, add_special_tokens=False).ids
+        if not exact:
+            from tokenizers import Tokenizer
+
+            exact.append(Tokenizer.from_file(json_path))
+        return exact[0].encode(text, add_special_tokens=False).ids
 
     if ranks_path is None:
         return slow

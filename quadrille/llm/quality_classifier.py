@@ -10,7 +10,7 @@ document; the target counts at most ``target_bound`` labelled ones. k is ``share
 default the good share of the labels plus ``margin``. The k-th greatest sum is found by narrowing
 histograms, so no sort gathers the corpus; documents tied with it are all chosen.
 
-Edge cases: a null or empty text has weight 0; without labels every document is chosen; repeated rows
+Edge cases: a null or empty text has weight 0; a very long text is a batch of its own; without labels every document is chosen; repeated rows
 get equal sums; a null id counts as id 0 for the noise; an empty table gives an empty result; other
 columns are kept by ``selected`` and ignored by ``sums``.
 """

@@ -4,7 +4,7 @@ Words are runs of characters other than space and tab to carriage return. Every
 pass over the row's own text; nothing is shuffled. Three-word windows are compared by XXH64 of their
 words within one text.
 
-Edge cases: a null text counts as empty, has no words and fails the base rule; ratios over nothing are
+Edge cases: a very long text is one row of one task, judged whole; a null text counts as empty, has no words and fails the base rule; ratios over nothing are
 0; repeated rows are judged alike; an empty table gives an empty result; no column but the id and the
 text is read.
 """

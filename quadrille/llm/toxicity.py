@@ -9,9 +9,9 @@ documents clean. Only words that occur in several toxic documents are weighted.
 
 The prior is the toxic share among the labels of the training folds. Fitting uses at most
 ``positives`` toxic and ``unlabelled`` other documents of the training folds, whose hashed words alone
-reach the driver; scoring reads every text whole.
+reach the driver, at most a megabyte each; scoring reads every text whole.
 
-Edge cases: a null or empty text has the classifier's base score; without a toxic document to learn
+Edge cases: a null or empty text has the classifier's base score; a very long text is a batch of its own; without a toxic document to learn
 from, every score is the prior; repeated rows give equal rows; an empty table gives an empty result;
 only the id and the text are read for a score.
 """
@@ -129,14 +129,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     prior = float(min(max(share if share is not None else 0.05, 1e-3), 0.5))
     toxic = bounded_ids(known.where("toxic = 1"), positives)
-    other = sorted(set(bounded_ids(docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)), unlabelled, 1)))
+    other = sorted(set(bounded_ids(docs.where(fold(F.col("doc_id")) != 0), unlabelled, 1)))
     if not toxic or not other:
         return fit([], [], prior)
     marks = [(i, True) for i in sorted(set(toxic))] + [(i, False) for i in other]
     pick = F.broadcast(docs.sparkSession.createDataFrame(marks, "doc_id long, positive boolean"))
     chosen = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(pick, "doc_id")
-    rows = chosen.select("positive", "doc_id", "text").mapInArrow(_sets, "positive boolean, doc_id long, words binary").orderBy("doc_id", "positive", "words").collect()
-    sets = [(r["positive"], np.frombuffer(r["words"], np.int32)) for r in rows]
+    rows = chosen.select("positive", "doc_id", "text").mapInArrow(_sets, "positive boolean, doc_id long, words binary").collect()
+    rows = sorted((r["doc_id"], r["positive"], bytes(r["words"])) for r in rows)  # sorted here: a distributed sort would run the scan twice
+    sets = [(positive, np.frombuffer(words, np.int32)) for _, positive, words in rows]
     return fit([x for p, x in sets if p], [x for p, x in sets if not p], prior)
 
 

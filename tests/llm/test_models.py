@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,71 @@ def test_trigram_counts_against_brute_force():
         assert (row == want).all()
 
 
+def test_long_texts_are_counted_slice_by_slice(monkeypatch):
+    texts = pa.array(["Ab c  é" * 50, "", "x", " a  b " * 9])
+    want = langid.counts(*langid.text_bytes(texts))
+    monkeypatch.setattr(langid, "_SLICE", 7)
+    assert (langid.counts(*langid.text_bytes(texts)) == want).all()
+
+
+def test_predictions_against_brute_force(spark):
+    """Each text's nearest centroid by plain loops over the model's numbers."""
+    rows = corpus(150)
+    df = table(spark, rows + EDGES)
+    model = langid.train(df, per_language=25)
+    assert len(model["names"]) <= 4 * 3 and model["centres"].shape == (len(model["names"]), langid.DIMS)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.predict(df, model).collect()}
+    for i, text, *_ in rows:
+        c = langid.counts(*langid.text_bytes(pa.array([text])))[0]
+        v = [math.sqrt(x) * w for x, w in zip(c.tolist(), model["idf"].tolist())]
+        norm = math.sqrt(sum(x * x for x in v))
+        cos = [sum(x * y for x, y in zip(v, centre)) / norm for centre in model["centres"].tolist()]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert any((i, model["names"][best], round(cos[best] + d, 4)) in got for d in (-5e-5, 0, 5e-5))
+
+
+def test_fitting_is_bounded_and_the_same_for_any_partitions(spark):
+    df = table(spark, corpus(300) + [(7, "the of and", "en", 1, 0)] * 200)
+    a, b = (langid.train(d, per_language=20) for d in (df, df.repartition(1)))
+    assert a["names"] == b["names"] and np.allclose(a["centres"], b["centres"]) and np.allclose(a["limits"], b["limits"])
+
+
+def test_toxic_scores_against_brute_force(spark):
+    rows = corpus(300)
+    df = table(spark, rows + EDGES)
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic", "text"))
+    got = {r.doc_id: r.score for r in toxicity.predict(df, model).collect()}
+    for i, text, *_ in rows:
+        words = {w for w in re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(ch.lower() if ch.isascii() else ch for ch in text))}
+        keys = {int(toxicity.word_sets(pa.array([w]))[0][0]) for w in words}
+        z = model["bias"] + sum(float(model["weights"][k]) for k in keys)
+        assert i == 5 or abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9  # two texts have id 5
+
+
+def test_quality_weights_against_brute_force(spark):
+    rows = corpus(200)
+    df = table(spark, rows + EDGES).withColumn("gumbel", F.lit(1)).withColumn("log_weight", F.lit("x")).withColumn("kept", F.lit(0))
+    ratio = quality_classifier.fit(df.drop("quality"), df.select("doc_id", "quality"))
+    raw, good = {}, {}
+    texts = [(r[0], r[1] or "", r[3]) for r in rows + EDGES]
+    of = {}
+    for i, text, q in texts:
+        of[text] = quality_classifier.features(pa.array([text]))[1].tolist()
+        for x in of[text]:
+            raw[x] = raw.get(x, 0) + 1
+            if i is not None and any(j == i and p == 1 for j, _, p in texts):
+                good[x] = good.get(x, 0) + 1
+    n, m, b = sum(raw.values()), sum(good.values()), quality_classifier.BUCKETS
+    for x in random.Random(1).sample(sorted(raw), 200):
+        assert abs(ratio[x] - (math.log((good.get(x, 0) + 1) / (m + b)) - math.log((raw[x] + 1) / (n + b)))) < 1e-9
+    got = {r.doc_id: r.log_weight for r in quality_classifier.sums(df, ratio).collect()}
+    for i, text, _ in texts[:200]:
+        if i != 5:
+            assert abs(got[i] - sum(ratio[x] for x in of[text])) < 1e-6
+    kept = quality_classifier.selected(df.drop("quality"), df.select("doc_id", "quality"), share=0.5)
+    assert kept.schema == df.drop("quality").schema and kept.count() >= math.ceil(0.5 * len(texts))
+
+
 def test_language(spark):
     rows = corpus()
     df = table(spark, rows + EDGES)
