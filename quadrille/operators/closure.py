@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -71,17 +72,23 @@ def transitive_generic(step: Callable[[DataFrame], DataFrame], seeds: DataFrame)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, depth: int = 100) -> DataFrame:
-    """(seed, node, path): every simple path from a seed, by a recursive query."""
+    """(seed, node, path): every simple path from a seed, by a recursive query.
+
+    A path of more than ``depth`` steps, or more rows than Spark's ``spark.sql.cteRecursionRowLimit``, is an error when the
+    result is read, never a shorter result; both limits can be raised."""
     spark = edges.sparkSession
-    name = f"_edges_{id(edges)}"
+    name = f"_edges_{uuid.uuid4().hex}"
     edges.select("a", "b").createOrReplaceTempView(name)
     seeds.select(F.col(seeds.columns[0]).alias("seed")).createOrReplaceTempView(name + "_seeds")
-    return spark.sql(
+    found = spark.sql(
         f"""WITH RECURSIVE walk(seed, node, path) MAX RECURSION LEVEL {depth + 1} AS (
               SELECT seed, seed, array(seed) FROM {name}_seeds
               UNION ALL SELECT w.seed, e.b, array_append(w.path, e.b) FROM walk w JOIN {name} e ON w.node = e.a WHERE NOT array_contains(w.path, e.b))
             SELECT * FROM walk"""
     )
+    spark.catalog.dropTempView(name)
+    spark.catalog.dropTempView(name + "_seeds")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
+from ..storage import written
 from ..terms import RDF, RDFS, Bnode, Iri, Literal, decode, encode
 from .closure import components, fixpoint, reachable
 from .stores import QuadStore
@@ -47,7 +49,7 @@ class Graph:
     def store(self, many_graphs: bool = True) -> QuadStore:
         return QuadStore(self.quads_df, many_graphs)
 
-    # -- scans -------------------------------------------------------------------------------------
+    # -- scans --
 
     def quads(self, s=None, p=None, o=None, g=None) -> DataFrame:
         """Matching quads. None is any; a list is one of its terms (an empty one any); a compiled pattern
@@ -119,7 +121,7 @@ class Graph:
     def comment(self, s, default=""):
         return self.value(s, Iri(RDFS + "comment"), default=default)
 
-    # -- changes -----------------------------------------------------------------------------------
+    # -- changes --
 
     def add(self, *triples, graph: str = "") -> Graph:
         return Graph(self.quads_df.union(Graph.of(self.spark, triples, graph).quads_df).distinct())
@@ -135,7 +137,7 @@ class Graph:
     def remove_context(self, name: str) -> Graph:
         return self.remove(g=Iri(name))
 
-    # -- set operations ----------------------------------------------------------------------------
+    # -- set operations --
 
     def _plain(self, df: DataFrame) -> Graph:
         return Graph(df.withColumn("g", F.lit("")))
@@ -149,7 +151,7 @@ class Graph:
     def __sub__(self, other: Graph) -> Graph:
         return self._plain(self.triples().subtract(other.triples()))
 
-    # -- structure ---------------------------------------------------------------------------------
+    # -- structure --
 
     def edges(self, p=None) -> DataFrame:
         return self.triples(None, p, None).select(F.col("s").alias("a"), F.col("o").alias("b"))
@@ -179,6 +181,10 @@ class Graph:
         pairs = cells.join(first, cells.node == first.s).groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "o"))).alias("x"))
         return pairs.select(F.col("seed").alias("head"), F.transform("x", lambda e: e["o"]).alias("items"))
 
+    def on_collection(self, item) -> DataFrame:
+        """(head) of every list that holds an item."""
+        return self.lists().where(F.array_contains("items", encode(item))).select("head")
+
     def sequence(self, container) -> DataFrame:
         """(position, item) of a container's numbered members."""
         q = self.quads(container, re.compile(re.escape(RDF + "_") + "[0-9]+$"), None)
@@ -206,7 +212,7 @@ class Graph:
         parts = ([t.join(nodes, t.s == nodes.node, "left_semi")] if forward else []) + ([t.join(nodes, t.o == nodes.node, "left_semi")] if backward else [])
         return reduce(DataFrame.union, parts).distinct()
 
-    # -- comparison --------------------------------------------------------------------------------
+    # -- comparison --
 
     def same_ground(self, other: Graph) -> bool:
         """Whether the triples without blank nodes are the same, and the others as many."""
@@ -215,27 +221,178 @@ class Graph:
         x, y = a.where(~blank), b.where(~blank)
         return x.subtract(y).isEmpty() and y.subtract(x).isEmpty() and a.where(blank).count() == b.where(blank).count()
 
-    def colours(self, rounds: int = 4) -> DataFrame:
-        """(node, colour): blank nodes by what is around them, other nodes by what they are."""
+    def colours(self) -> DataFrame:
+        """(node, colour): blank nodes by what is around them, other nodes by what they are.
+
+        A blank node's colour is renewed from a sum of hashes over its triples, which needs no list of neighbours, until a
+        round tells no more nodes apart."""
         t = self.triples()
         near = t.select(F.col("s").alias("n"), F.lit(">").alias("d"), "p", F.col("o").alias("m")).union(t.select(F.col("o"), F.lit("<"), "p", "s"))
-        now = self.all_nodes().select("node", F.when(T.is_blank(F.col("node")), F.lit("")).otherwise(F.col("node")).alias("colour"))
-        for _ in range(rounds):
+        near = near.where(T.is_blank(F.col("n")))
+        fixed = near.where(~T.is_blank(F.col("m"))).groupBy("n").agg(F.sum(F.xxhash64("d", "p", "m").cast("decimal(38,0)")).alias("h"))
+        open_ = near.where(T.is_blank(F.col("m")))
+        nodes = near.select(F.col("n").alias("node")).distinct()
+        now = written(nodes.join(fixed, nodes.node == fixed.n, "left").select("node", F.sha1(F.coalesce("h", F.lit(0)).cast("string")).alias("colour")), "colours")
+        many = now.select("colour").distinct().count()
+        while True:
             c = now.select(F.col("node").alias("m"), F.col("colour").alias("c"))
-            seen = near.join(c, "m").groupBy("n").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "d", "p", "c"))), "\n")).alias("h"))
-            now = now.join(seen, now.node == seen.n, "left").select("node", F.when(T.is_blank(F.col("node")), F.sha1(F.concat("colour", F.lit("|"), F.coalesce("h", F.lit(""))))).otherwise(F.col("node")).alias("colour"))
-        return now
-
-    def isomorphic(self, other: Graph, rounds: int = 4) -> bool:
-        """Whether the graphs agree with blank nodes taken for their colours."""
-
-        def coloured(g: Graph) -> DataFrame:
-            c = g.colours(rounds)
-            a, b = c.toDF("s", "cs"), c.toDF("o", "co")
-            return g.triples().join(a, "s").join(b, "o").select("cs", "p", "co")
-
-        x, y = coloured(self), coloured(other)
-        return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+            seen = open_.join(c, "m").groupBy("n").agg(F.sum(F.xxhash64("d", "p", "c").cast("decimal(38,0)")).alias("h"))
+            now = written(now.join(seen, now.node == seen.n, "left").select("node", F.sha1(F.concat_ws("|", "colour", F.coalesce("h", F.lit(0)).cast("string"))).alias("colour")), "colours")
+            more = now.select("colour").distinct().count()
+            if more == many:
+                break
+            many = more
+        rest = self.all_nodes().where(~T.is_blank(F.col("node")))
+        return now.union(rest.select("node", F.col("node").alias("colour")))
+
+    def isomorphic(self, other: Graph, ambiguous: int = 10_000) -> bool:
+        """Whether some renaming of blank nodes makes the graphs equal.
+
+        Graphs that differ with colours for blank nodes are unlike. Where each blank node has a colour of its own the
+        others are alike; else the triples between nodes that share their colours are searched for a renaming, which
+        is done on the driver and raises if there are more than ``ambiguous``."""
+
+        def coloured(g: Graph) -> tuple[DataFrame, DataFrame]:
+            c = g.colours()
+            t = written(g.triples().join(c.toDF("s", "cs"), "s").join(c.toDF("o", "co"), "o"), "coloured")
+            shared = c.where(T.is_blank(F.col("node"))).groupBy("colour").count().where("count > 1").select("colour")
+            either = t.join(shared, t.cs == shared.colour, "left_semi").union(t.join(shared, t.co == shared.colour, "left_semi")).distinct()
+            return t.select("cs", "p", "co"), either
+
+        (x, a), (y, b) = coloured(self), coloured(other)
+        if not (x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()):
+            return False
+        rows = [g.limit(ambiguous + 1).collect() for g in (a, b)]
+        if max(map(len, rows)) > ambiguous:
+            raise ValueError(f"more than {ambiguous} triples have blank nodes that look alike")
+        return renaming(*[[(r["s"], r["cs"], r["p"], r["o"], r["co"]) for r in part] for part in rows])
+
+
+def renaming(x: list[tuple], y: list[tuple]) -> bool:
+    """Whether the blank nodes of ``x`` can be mapped to those of ``y``, each to one of its colour, so that the triples
+    (s, colour, p, o, colour) agree. Nodes next to mapped ones come first, so a wrong choice shows soon."""
+    if len(x) != len(y):
+        return False
+    blank = lambda n: n.startswith("_:")
+    colour = [{n: c for s, cs, _, o, co in g for n, c in ((s, cs), (o, co)) if blank(n)} for g in (x, y)]
+    if sorted(colour[0].values()) != sorted(colour[1].values()):
+        return False
+    of: dict[str, list[str]] = {}
+    for n, c in colour[1].items():
+        of.setdefault(c, []).append(n)
+    there = {(s, p, o) for s, _, p, o, _ in y}
+    own: dict[str, list[tuple]] = {n: [] for n in colour[0]}
+    for s, _, p, o, _ in x:
+        for n in {s, o}:
+            if n in own:
+                own[n].append((s, p, o))
+    order: list[str] = []
+    placed: set[str] = set()
+    for start in sorted(own, key=lambda n: (len(of[colour[0][n]]), n)):
+        todo = [start]
+        while todo:
+            n = todo.pop()
+            if n not in placed:
+                placed.add(n)
+                order.append(n)
+                todo += [m for t in own[n] for m in (t[0], t[2]) if m in own and m not in placed]
+    to: dict[str, str] = {}
+    used: set[str] = set()
+
+    def fits(n: str) -> bool:
+        for s, p, o in own[n]:
+            a, b = to.get(s, None if s in own else s), to.get(o, None if o in own else o)
+            if a is not None and b is not None and (a, p, b) not in there:
+                return False
+        return True
+
+    tried = [iter(of[colour[0][order[0]]])] if order else []
+    while tried:  # no recursion, since there may be many nodes
+        n = order[len(tried) - 1]
+        if n in to:
+            used.discard(to.pop(n))
+        for m in tried[-1]:
+            if m in used:
+                continue
+            to[n] = m
+            if fits(n):
+                used.add(m)
+                break
+            del to[n]
+        else:
+            tried.pop()
+            continue
+        if len(tried) == len(order):
+            return True
+        tried.append(iter(of[colour[0][order[len(tried)]]]))
+    return not order
+
+
+class Collection:
+    """An RDF list in a graph, by its head. Operations that change it give the changed graph's collection; only
+    the cells that change are replaced."""
+
+    def __init__(self, graph: Graph, head):
+        self.graph, self.head = graph, head
+        self._cells: list[tuple[str, str]] | None = None
+
+    def cells(self) -> list[tuple[str, str]]:
+        """(cell, item) in order."""
+        if self._cells is None:
+            cells = reachable(self.graph.edges(Iri(RDF + "rest")), self.graph._seed(self.head)).select("node", "depth")
+            first = self.graph.quads(None, Iri(RDF + "first"), None).select("s", "o")
+            rows = cells.join(first, cells.node == first.s).select("depth", "s", "o").collect()  # one list
+            self._cells = [(r["s"], r["o"]) for r in sorted(rows)]
+        return self._cells
+
+    def __len__(self) -> int:
+        return len(self.cells())
+
+    def __iter__(self):
+        return (decode(o) for _, o in self.cells())
+
+    def __getitem__(self, k: int):
+        return decode(self.cells()[k][1])
+
+    def index(self, item) -> int:
+        return [o for _, o in self.cells()].index(encode(item))
+
+    def _changed(self, gone: list[tuple], made: list[tuple], head=None) -> Collection:
+        old = self.graph.spark.createDataFrame(gone or [("", "", "")], "s string, p string, o string")
+        kept = self.graph.quads_df.join(F.broadcast(old), ["s", "p", "o"], "left_anti")
+        new = self.graph.spark.createDataFrame([(*t, "") for t in made], SCHEMA)
+        return Collection(Graph(kept.select(*COLUMNS).union(new)), head or self.head)
+
+    def set(self, k: int, item) -> Collection:
+        cell, old = self.cells()[k]
+        return self._changed([(cell, f"<{RDF}first>", old)], [(cell, f"<{RDF}first>", encode(item))])
+
+    def append(self, *items) -> Collection:
+        cells = [f"_:c{uuid.uuid4().hex}" for _ in items]
+        made = [t for c, item, after in zip(cells, items, [*cells[1:], f"<{RDF}nil>"]) for t in ((c, f"<{RDF}first>", encode(item)), (c, f"<{RDF}rest>", after))]
+        if not items:
+            return self
+        if not len(self):
+            return self._changed([], made, decode(cells[0]))
+        last = self.cells()[-1][0]
+        return self._changed([(last, f"<{RDF}rest>", f"<{RDF}nil>")], [(last, f"<{RDF}rest>", cells[0]), *made])
+
+    def delete(self, k: int) -> Collection:
+        cells = self.cells()
+        k = range(len(cells))[k]
+        cell, item = cells[k]
+        after = cells[k + 1][0] if k + 1 < len(cells) else f"<{RDF}nil>"
+        gone = [(cell, f"<{RDF}first>", item), (cell, f"<{RDF}rest>", after)]
+        if not k:
+            return self._changed(gone, [], decode(after))
+        before = cells[k - 1][0]
+        return self._changed([*gone, (before, f"<{RDF}rest>", cell)], [(before, f"<{RDF}rest>", after)])
+
+    def clear(self) -> Collection:
+        cells = self.cells()
+        rest = [c for c, _ in cells[1:]] + [f"<{RDF}nil>"]
+        gone = [t for (c, o), after in zip(cells, rest) for t in ((c, f"<{RDF}first>", o), (c, f"<{RDF}rest>", after))]
+        return self._changed(gone, [], Iri(RDF + "nil"))
 
 
 class Namespaces:
@@ -270,4 +427,4 @@ class Namespaces:
         return Iri(self.bound[prefix] + local)
 
 
-__all__ = ["Ambiguous", "Bnode", "Graph", "Namespaces", "fixpoint"]
+__all__ = ["Ambiguous", "Bnode", "Collection", "Graph", "Namespaces", "fixpoint"]

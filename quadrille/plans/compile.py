@@ -95,7 +95,7 @@ class Engine:
     def __init__(self, store, prefixes: dict[str, str] | None = None, base: str = "", strict: bool = False):
         self.store, self.prefixes, self.base, self.strict = store, prefixes or {}, base, strict
 
-    # -- patterns ----------------------------------------------------------------------------------
+    # -- patterns --
 
     def bgp(self, triples: list[Triple], data: Dataset) -> Solutions:
         """Stars on one subject are one scan where the store can; then the cheapest connected part is
@@ -152,7 +152,7 @@ class Engine:
         s = self.lower(body, data)
         return s.where(reduce(lambda a, b: a & b, [condition(e, s) for e in parts]))
 
-    # -- queries -----------------------------------------------------------------------------------
+    # -- queries --
 
     def query(self, text: str | Query, bindings: dict[str, object] | None = None) -> Result:
         """``bindings``: variables with a constant each, joined with the pattern's solutions."""

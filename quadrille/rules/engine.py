@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import terms as T
 from ..functions import values as V
+from ..operators.closure import transitive_closure
 from ..operators.stores import Dataset, QuadStore
 from ..plans.algebra import Triple
 from ..solutions import Solutions, anti_join, join
@@ -78,23 +79,69 @@ def dependencies(rules: list[Rule]) -> list[tuple[str, str, bool]]:
     return edges
 
 
+def _components(edges: list[tuple[str, str, bool]], keys: list[str]) -> dict[str, int]:
+    """For each key its place among the strongly connected components, what it depends on first."""
+    below: dict[str, set[str]] = {k: set() for k in keys}
+    for h, b, _ in edges:
+        below[h].add(b)
+    reach = {k: set(v) for k, v in below.items()}
+    changed = True
+    while changed:
+        changed = False
+        for k in keys:
+            more = set().union(*(reach[x] for x in reach[k])) - reach[k] if reach[k] else set()
+            if more:
+                reach[k] |= more
+                changed = True
+    same = {k: frozenset({k} | {x for x in reach[k] if k in reach[x]}) for k in keys}
+    depth: dict[frozenset, int] = {}
+
+    def place(c: frozenset) -> int:
+        if c not in depth:
+            lower = {same[x] for k in c for x in below[k]} - {c}
+            depth[c] = 1 + max(map(place, lower), default=-1)
+        return depth[c]
+
+    return {k: place(same[k]) for k in keys}
+
+
 def stratify(rules: list[Rule]) -> list[list[Rule]]:
-    """Rules in strata: what a rule negates is complete before it runs."""
+    """Rules in strata: what a rule needs is complete before it runs, but for what depends on itself."""
     edges = dependencies(rules)
-    level = {k: 0 for r in rules for a in r.head for k in [a.key or "*"]}
-    for _ in range(len(level) + 1):
-        changed = False
-        for h, b, negative in edges:
-            if level[h] < level[b] + negative:
-                level[h], changed = level[b] + negative, True
-        if not changed:
-            break
-    else:
-        raise NotStratified("a predicate depends on its own negation")
-    of = lambda r: max(level[a.key or "*"] for a in r.head)
+    keys = list(dict.fromkeys(a.key or "*" for r in rules for a in r.head))
+    place = _components(edges, keys)
+    for h, b, negative in edges:
+        if negative and place[h] <= place[b]:
+            raise NotStratified("a predicate depends on its own negation")
+    of = lambda r: max(place[a.key or "*"] for a in r.head)
     return [own for k in sorted({of(r) for r in rules}) if (own := [r for r in rules if of(r) == k])]
 
 
+def recursive(stratum: list[Rule]) -> bool:
+    """Whether a rule of the stratum can need what another, or itself, derives there."""
+    heads = {a.key or "*" for r in stratum for a in r.head}
+    return any(isinstance(b, Atom) and (b.key is None or b.key in heads or "*" in heads) for r in stratum for b in r.body)
+
+
+def chain(stratum: list[Rule]) -> tuple[Rule, str] | None:
+    """The one recursive rule of a stratum, if it joins two predicates end to end into one of them, and the side
+    on which it recurs: left, right or both."""
+    heads = {a.key or "*" for r in stratum for a in r.head}
+    own = [r for r in stratum if any(isinstance(b, Atom) and (b.key is None or b.key in heads) for b in r.body)]
+    if "*" in heads or len(own) != 1 or len(own[0].head) != 1 or len(own[0].body) != 2:
+        return None
+    h, (x, y) = own[0].head[0], own[0].body
+    if not all(isinstance(a, Atom) and not a.negated and a.key and not isinstance(a.p, Var) and isinstance(a.s, Var) and isinstance(a.o, Var) for a in (h, x, y)):
+        return None
+    if x.o != y.s and y.o == x.s:
+        x, y = y, x
+    if x.o != y.s or (h.s, h.o) != (x.s, y.o) or len({x.s, x.o, y.o}) != 3 or (h.key not in (x.key, y.key)) or heads & ({x.key, y.key} - {h.key}):
+        return None
+    if any(len(r.head) > 1 and any(a.key == h.key for a in r.head) for r in stratum):
+        return None
+    return own[0], "both" if x.key == y.key else "left" if x.key == h.key else "right"
+
+
 def skolem(rule: Rule, var: str, frontier: list[str], s: Solutions) -> Column:
     """One node per rule, variable and values of what head and body share."""
     tag = hashlib.sha1(f"{rule.canonical()}|{var}".encode()).hexdigest()[:12]
@@ -179,12 +226,16 @@ class Engine:
     def run(self, facts: DataFrame, added: DataFrame | None = None) -> Inference:
         """The least model. ``facts`` (s, p, o); with ``added``, facts is taken as closed already and only
         what follows with the added triples is derived, which negation forbids."""
-        if added is not None and len(self.strata) + any(isinstance(b, Atom) and b.negated for r in self.rules for b in r.body) > 1:
+        if added is not None and any(isinstance(b, Atom) and b.negated for r in self.rules for b in r.body):
             raise NotStratified("rules with negation can't be continued, only run again")
-        facts = facts.select(*TRIPLE).distinct()
+        facts = facts.select(*TRIPLE)
         spark = facts.sparkSession
         start = Rounds(spark, "facts")
-        base, _ = start.add(facts if added is None else facts.union(added.select(*TRIPLE)).distinct())
+        if added is None:
+            base, _ = start.add(facts.distinct())
+        else:  # what is closed stays where it is
+            added, _ = start.add(added.select(*TRIPLE).distinct().join(facts, TRIPLE, "left_anti"))
+            base = facts.unionByName(added)
         derived = Rounds(spark, "derived")
         rounds, firings = 0, {}
 
@@ -192,37 +243,65 @@ class Engine:
             return base if not derived.parts else base.unionByName(derived.all().select(*TRIPLE))
 
         for stratum in self.strata:
-            new = None if added is None else added.select(*TRIPLE).join(facts, TRIPLE, "left_anti").distinct()
-            while True:
+            new = added
+            if added is not None and derived.parts:
+                new = added.unionByName(derived.all().select(*TRIPLE))
+            linked = chain(stratum) if added is None and not self.provenance else None
+            plain = [r for r in stratum if linked is None or r is not linked[0]]
+            again = recursive(plain)
+            heads = {a.key or "*" for r in stratum for a in r.head}
+            changed: set[str] | None = None  # the keys that new triples can have; None is any
+            while plain:
                 rounds += 1
                 if rounds > self.limit:
                     raise NoFixpoint(f"no fixpoint after {self.limit} rounds")
                 if new is None:
-                    plans = [(r, None) for r in stratum]
+                    plans = [(r, None) for r in plain]
                 else:
-                    keys = self._keys(new)
-                    plans = [(r, k) for r in stratum for k, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated and (b.key is None or b.key in keys)]
+                    plans = [(r, k) for r in plain for k, b in enumerate(r.body) if isinstance(b, Atom) and not b.negated and (b.key is None or changed is None or b.key in changed or "*" in changed)]
                 if not plans:
                     break
                 now = known()
                 parts = [self.fire(r, self.body(r, now, new, k)) for r, k in plans]
-                found = self._once(reduce(DataFrame.unionByName, parts)).join(now, TRIPLE, "left_anti").select(*self.columns)
+                found = self._new(self._once(reduce(DataFrame.unionByName, parts)), now, stratum)
                 step, n = derived.add(found)
-                if not n:
-                    break
-                if self.provenance:
+                if n and self.provenance:
                     for r in step.groupBy("rule").count().collect():
                         firings[r["rule"]] = firings.get(r["rule"], 0) + r["count"]
-                new = step.select(*TRIPLE)
+                if not n or not again:
+                    break
+                new, changed = step.select(*TRIPLE), heads
+            if linked is not None:
+                rounds += 1
+                derived.add(self._new(self._doubled(*linked, known()), known(), stratum))
         schema = "s string, p string, o string" + (", rule string, premises array<struct<s:string,p:string,o:string>>" if self.provenance else "")
         out = derived.all() if derived.parts else spark.createDataFrame([], schema)
         return Inference(out, base.unionByName(out.select(*TRIPLE)), rounds, firings)
 
+    def _new(self, found: DataFrame, now: DataFrame, stratum: list[Rule]) -> DataFrame:
+        """What isn't known yet; only triples with the predicates that the stratum derives are looked at."""
+        predicates = {a.p for r in stratum for a in r.head}
+        if not any(isinstance(p, Var) for p in predicates):
+            now = now.where(F.col("p").isin(sorted(encode(p) for p in predicates)))
+        return found.join(now, TRIPLE, "left_anti").select(*self.columns)
+
     @staticmethod
-    def _keys(new: DataFrame) -> set[str]:
-        """The keys that the new triples can match: one per predicate and class."""
-        is_type = F.col("p") == f"<{T.TYPE}>"
-        return {r["k"] for r in new.select(F.when(is_type, F.concat(F.lit("type "), "o")).otherwise(F.expr("substring(p, 2, length(p) - 2)")).alias("k")).distinct().collect()}
+    def _doubled(rule: Rule, side: str, known: DataFrame) -> DataFrame:
+        """All that a chain rule derives: the closure of the step, which doubles its reach each round, before or
+        after what the head's predicate has already."""
+        head = rule.head[0]
+        x, y = rule.body if rule.body[0].o == rule.body[1].s and rule.body[0].s == head.s else reversed(rule.body)
+        step = y if side == "left" else x
+        pairs = lambda a: known.where(F.col("p") == encode(a.p)).select(F.col("s").alias("a"), F.col("o").alias("b"))
+        reach = transitive_closure(pairs(step))
+        if side == "both":
+            out = reach
+        else:
+            base = pairs(head)
+            first, then = (base, reach) if side == "left" else (reach, base)
+            out = first.alias("x").join(then.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct()
+        triples = out.select(F.col("a").alias("s"), F.lit(encode(head.p)).alias("p"), F.col("b").alias("o"))
+        return triples.where(~T.is_literal(F.col("s")))
 
 
 def closure(facts: DataFrame, rules: list[Rule], **options) -> DataFrame:

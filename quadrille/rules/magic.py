@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import reachable
 from ..terms import TYPE, Iri, Var, encode
 from .ast import Atom, Builtin, Rule
-from .engine import Engine
+from .engine import Engine, chain, stratify
 
 MAGIC = "urn:magic:"
 
@@ -102,14 +104,45 @@ def transform(rules: list[Rule], goals: list[Atom]) -> tuple[list[Rule], list[At
     return out, seeds
 
 
+def _along_chain(facts: DataFrame, rules: list[Rule], goal: Atom, **options) -> DataFrame | None:
+    """A goal on a predicate that one chain rule extends, bound at the end that the chain goes on from: the nodes that
+    the bound term reaches by the chain's step, then what the other rules say of these. None for other goals."""
+    stratum = next((x for x in stratify(rules) if any(a.key == goal.key for r in x for a in r.head)), [])
+    found = chain(stratum)
+    if found is None or any(a.key != goal.key for r in stratum for a in r.head) or any(len(r.head) > 1 or r.existentials() for r in stratum):
+        return None
+    rule, side = found
+    if any(isinstance(b, Atom) and (b.key is None or b.key in derived_keys(rules)) for r in stratum if r is not rule for b in r.body):
+        return None
+    at_end = side == "left" or isinstance(goal.s, Var)
+    if isinstance(goal.o if at_end else goal.s, Var) or (side == "right" and at_end):
+        return None
+    x, y = rule.body if rule.body[0].s == rule.head[0].s else reversed(rule.body)
+    step = y if side == "left" else x
+    if side != "both" and step.key in derived_keys(rules):
+        return None
+    engine = Engine(rules, **options)
+    facts = facts.select("s", "p", "o")
+    parts = [facts.where(F.col("p") == encode(goal.p))] + [engine.fire(r, engine.body(r, facts, None, None)).select("s", "p", "o") for r in stratum if r is not rule]
+    base = reduce(DataFrame.union, parts)
+    hops = base if side == "both" else facts.where(F.col("p") == encode(step.p))
+    seed = facts.sparkSession.createDataFrame([(encode(goal.o if at_end else goal.s),)], "node string")
+    nodes = reachable(hops.select(F.col("s").alias("a"), F.col("o").alias("b")), seed, reverse=at_end).select("node").distinct()
+    bound = encode(goal.o if at_end else goal.s)
+    here = base.join(nodes, F.col("o" if at_end else "s") == F.col("node"), "left_semi")
+    return here.select(F.col("s") if at_end else F.lit(bound).alias("s"), "p", F.lit(bound).alias("o") if at_end else F.col("o")).distinct()
+
+
 def answers(facts: DataFrame, rules: list[Rule], goal: Atom, **options) -> DataFrame:
     """The triples that match a goal in the closure of the facts."""
-    rewritten, seeds = transform(rules, [goal])
-    spark = facts.sparkSession
-    if seeds:
-        rows = [tuple(encode(t) for t in (a.s, a.p, a.o)) for a in seeds]
-        facts = facts.select("s", "p", "o").union(spark.createDataFrame(rows, "s string, p string, o string"))
-    known = Engine(rewritten, **options).run(facts).known
+    known = _along_chain(facts, rules, goal, **options)
+    if known is None:
+        rewritten, seeds = transform(rules, [goal])
+        spark = facts.sparkSession
+        if seeds:
+            rows = [tuple(encode(t) for t in (a.s, a.p, a.o)) for a in seeds]
+            facts = facts.select("s", "p", "o").union(spark.createDataFrame(rows, "s string, p string, o string"))
+        known = Engine(rewritten, **options).run(facts).known
     tests = [F.col(c) == encode(t) for c, t in zip("spo", (goal.s, goal.p, goal.o)) if not isinstance(t, Var)]
     for t in tests:
         known = known.where(t)

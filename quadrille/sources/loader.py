@@ -93,6 +93,33 @@ def serialize(quads: DataFrame, form: str, prefixes: dict[str, str] | None = Non
     raise ValueError(f"unknown format {form}")
 
 
+def write_folder(quads: DataFrame, path: str, form: str, documents: int = 8, prefixes: dict[str, str] | None = None) -> None:
+    """A graph of any size as a folder of documents, each written by a task from the triples of its subjects.
+
+    Labels of blank nodes hold within a document, so a graph with blank nodes takes one document unless it has
+    none that two documents would share; N-Triples have no documents and no such limit."""
+    if form == "nt":
+        ntriples.write(quads, path)
+        return
+    if form not in ("n3", "xml", "pretty-xml", "trix"):
+        raise ValueError(f"unknown format {form}")
+    blank = F.col("s").startswith("_:") | F.col("o").startswith("_:")
+    if documents > 1 and not quads.where(blank).limit(1).isEmpty():
+        documents = 1
+
+    def run(batches):
+        rows = [tuple(decode(c) if c else None for c in r) for b in batches for r in zip(*[x.to_pylist() for x in b.columns])]
+        if rows:
+            if form == "trix":
+                text = xmlformats.write_trix([(s, p, o, g or "") for s, p, o, g in rows])
+            else:
+                text = turtle.write([r[:3] for r in rows], prefixes) if form == "n3" else xmlformats.write_rdfxml([r[:3] for r in rows], prefixes, form == "pretty-xml")
+            yield pa.record_batch([pa.array([text], pa.string())], ["value"])
+
+    rows = quads.select("s", "p", "o", "g") if form == "trix" else quads.select("s", "p", "o", F.lit("").alias("g"))
+    rows.distinct().repartition(documents, "s").mapInArrow(run, "value string").write.text(path)
+
+
 def convert(spark: SparkSession, source: str, target: str, form: str | None = None) -> None:
     """One file in another format."""
     text = serialize(read(spark, source), form or FORMATS[Path(target).suffix])

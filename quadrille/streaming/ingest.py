@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,17 +43,49 @@ class Journal:
         return self.spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files_per_batch).parquet(self.path)
 
 
+class Changes:
+    """Tells subscribers of changes. ``subscribe`` takes the kinds of events that a function wants, all by default;
+    a function that returns False stops the dispatch of that event."""
+
+    def __init__(self):
+        self.wanted: list[tuple[frozenset[str], Callable[[str, DataFrame], object]]] = []
+
+    def subscribe(self, fn: Callable[[str, DataFrame], object], *kinds: str) -> None:
+        self.wanted.append((frozenset(kinds), fn))
+
+    def dispatch(self, kind: str, quads: DataFrame) -> int:
+        """Calls the subscribers in the order of their subscription; returns how many heard of it."""
+        heard = 0
+        for kinds, fn in self.wanted:
+            if not kinds or kind in kinds:
+                heard += 1
+                if fn(kind, quads) is False:
+                    break
+        return heard
+
+
 class LiveClosure:
     """The closure of a growing set of facts. Each micro-batch derives only from what is new and writes its
-    facts and consequences to a folder of its own, replaced if the batch is repeated. Rules with negation
-    can't be continued and are refused."""
+    facts and consequences to a folder of its own, replaced if the batch is repeated; what is known is what the
+    folders hold, so a restarted process goes on where it was. Rules with negation can't be continued and are refused."""
 
     def __init__(self, spark: SparkSession, engine: Engine, path: str):
-        self.spark, self.engine, self.path, self.done = spark, engine, path, []
+        self.spark, self.engine, self.path = spark, engine, path
+
+    @property
+    def done(self) -> list[int]:
+        """The batches that are written."""
+        jvm, at = self.spark.sparkContext._jvm, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            return []
+        folders = [s.getPath() for s in files.listStatus(at) if s.getPath().getName().startswith("batch=")]
+        whole = [f for f in folders if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+        return sorted(int(f.getName().removeprefix("batch=")) for f in whole)
 
     def _read(self, batches: list[int]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.path}/batch={b}") for b in batches]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
+        schema = "s string, p string, o string"
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/batch={b}" for b in batches]) if batches else self.spark.createDataFrame([], schema)
 
     def triples(self) -> DataFrame:
         return self._read(self.done)
@@ -63,8 +95,6 @@ class LiveClosure:
         added = batch.select(*TRIPLE).distinct().join(known, TRIPLE, "left_anti")
         derived = self.engine.run(known, added).derived.select(*TRIPLE)
         added.union(derived).distinct().write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        if batch_id not in self.done:
-            self.done.append(batch_id)
 
     def follow(self, triples: DataFrame, checkpoint: str):
         """Starts a query that keeps the closure up to date with a stream of triples; available data first."""

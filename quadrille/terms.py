@@ -86,7 +86,7 @@ def decode(s: str) -> Iri | Bnode | Literal:
     return Literal(lex, rest[2:] if rest.startswith("^^") else "", rest[1:] if rest.startswith("@") else "")
 
 
-# -- the parts of a term column --------------------------------------------------------------------
+# -- the parts of a term column --
 
 
 def suffix(t: Column) -> Column:
@@ -105,6 +105,24 @@ def is_literal(t: Column) -> Column:
     return t.startswith('"')
 
 
+def is_subject(t: Column) -> Column:
+    return is_iri(t) | is_blank(t)
+
+
+def is_object(t: Column) -> Column:
+    return is_iri(t) | is_blank(t) | is_literal(t)
+
+
+def is_statement(s: Column, p: Column, o: Column) -> Column:
+    """Whether three terms make a statement: no literal is a subject, only IRIs are predicates."""
+    return F.coalesce(is_subject(s) & is_iri(p) & is_object(o), F.lit(False))
+
+
+def is_pattern(s: Column, p: Column, o: Column) -> Column:
+    """Whether they make a pattern, where NULL is any."""
+    return F.coalesce(is_subject(s), F.lit(True)) & F.coalesce(is_iri(p), F.lit(True)) & F.coalesce(is_object(o), F.lit(True))
+
+
 def lex(t: Column) -> Column:
     """The IRI, label or lexical form."""
     return (

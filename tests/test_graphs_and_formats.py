@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.operators import closure, joins, text
-from quadrille.operators.graph import Ambiguous, Graph, Namespaces
+from quadrille.operators.graph import Ambiguous, Collection, Graph, Namespaces, renaming
 from quadrille.plans.compile import Engine
 from quadrille.sources import loader, n3, ntriples, results, turtle, xmlformats
-from quadrille.streaming.ingest import Journal, LiveClosure
+from quadrille.streaming.ingest import Changes, Journal, LiveClosure
 from quadrille.terms import RDF, RDFS, XSD, Bnode, Iri, Literal, encode
 
 E = "http://e/"
@@ -242,5 +242,104 @@ def test_journal_and_live_closure(spark, tmp_path):
     source = spark.readStream.schema("s string, p string, o string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     live.follow(source, f"{tmp_path}/cp").awaitTermination()
     assert live.triples().where("p = '<anc>'").count() == 6 and live.triples().count() == 9
-    live.update(spark.createDataFrame(parts[1], "s string, p string, o string"), live.done[-1])
-    assert live.triples().where("p = '<anc>'").count() >= 3
+    before = live.triples().exceptAll(live._read(live.done[:-1])).count()
+    live.update(spark.createDataFrame(parts[2], "s string, p string, o string"), live.done[-1])  # a repeated batch
+    assert live.triples().count() == 9 and before == 4
+    again = LiveClosure(spark, engine, f"{tmp_path}/live")  # as after a restart
+    assert again.done == live.done and again.triples().count() == 9
+    spark.createDataFrame([("<d>", "<p>", "<e>")], "s string, p string, o string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again.follow(source, f"{tmp_path}/cp").awaitTermination()
+    assert again.triples().where("p = '<anc>'").count() == 10 and again.triples().count() == 14
+    assert LiveClosure(spark, engine, f"{tmp_path}/none").triples().count() == 0
+
+
+def test_changes_are_told():
+    heard = []
+    c = Changes()
+    c.subscribe(lambda kind, q: heard.append(("a", kind, q)), "add")
+    c.subscribe(lambda kind, q: heard.append(("b", kind, q)))
+    c.subscribe(lambda kind, q: False, "remove")
+    c.subscribe(lambda kind, q: heard.append(("c", kind, q)), "remove")
+    assert c.dispatch("add", 1) == 2 and c.dispatch("remove", 2) == 2
+    assert heard == [("a", "add", 1), ("b", "add", 1), ("b", "remove", 2)]
+
+
+def test_isomorphism_of_nodes_that_look_alike(spark):
+    def cycle(*sizes, prefix="n"):
+        rows, at = [], 0
+        for n in sizes:
+            rows += [(Bnode(f"{prefix}{at + k}"), i("p"), Bnode(f"{prefix}{at + (k + 1) % n}")) for k in range(n)]
+            at += n
+        return Graph.of(spark, rows)
+
+    assert not cycle(3, 3).isomorphic(cycle(6)) and cycle(3, 3).isomorphic(cycle(3, 3, prefix="m")) and cycle(6).isomorphic(cycle(6, prefix="m"))
+    with pytest.raises(ValueError):
+        cycle(6).isomorphic(cycle(6, prefix="m"), ambiguous=3)
+
+
+def test_renaming_against_all_permutations():
+    from itertools import permutations
+
+    rng = random.Random(4)
+    found = 0
+    for k in range(150):
+        nodes = [f"_:{c}" for c in "abcd"]
+        x = sorted({(rng.choice(nodes), rng.choice("pq"), rng.choice(nodes)) for _ in range(6)})
+        if k % 2:
+            to = dict(zip(nodes, rng.sample(nodes, 4)))
+            y = sorted((to[s], p, to[o]) for s, p, o in x)
+        else:
+            y = sorted({(rng.choice(nodes), rng.choice("pq"), rng.choice(nodes)) for _ in range(6)})
+        used = [sorted({n for s, _, o in g for n in (s, o)}) for g in (x, y)]
+        want = len(used[0]) == len(used[1]) and any({(to[s], p, to[o]) for s, p, o in x} == set(y) for z in permutations(used[1]) for to in [dict(zip(used[0], z))])
+        assert renaming([(s, "", p, o, "") for s, p, o in x], [(s, "", p, o, "") for s, p, o in y]) == want
+        found += want
+    assert 75 <= found < 150
+
+
+def test_collections(spark):
+    g = Graph.of(spark, n3.parse(f"@prefix : <{E}>. :s :l ( 'a' 'b' 'c' ) .").triples)
+    c = Collection(g, g.value(i("s"), i("l"), None))
+    texts = lambda x: [t.lex for t in x]
+    assert texts(c) == ["a", "b", "c"] and len(c) == 3 and c[1].lex == "b" and c.index(Literal("c")) == 2
+    c = c.set(1, Literal("x")).append(Literal("d"))
+    assert texts(c) == ["a", "x", "c", "d"] and texts(c.delete(-1)) == ["a", "x", "c"] and texts(c.delete(0)) == ["x", "c", "d"]
+    empty = c.clear()
+    assert texts(empty) == [] and empty.graph.count() == 1 and texts(empty.append(Literal("n"))) == ["n"]
+    with pytest.raises(IndexError):
+        c.delete(9)
+    with pytest.raises(ValueError):
+        c.index(Literal("none"))
+    assert g.on_collection(Literal("b")).count() == 1 and g.on_collection(Literal("z")).count() == 0
+
+
+def test_folders_of_documents(spark, tmp_path):
+    g = Graph.of(spark, [(i(f"s{k}"), i("p"), Literal(f"v{k}")) for k in range(20)])
+    for form, parser in (("n3", "n3"), ("xml", "xml"), ("trix", "trix")):
+        loader.write_folder(g.quads_df, f"{tmp_path}/{form}", form, documents=4)
+        assert len(list((tmp_path / form).glob("part-*"))) > 1
+        assert loader.read(spark, f"{tmp_path}/{form}/part-*", parser).exceptAll(g.quads_df).count() == 0
+    b = Graph.of(spark, [(Bnode("a"), i("p"), Bnode("b")), (Bnode("b"), i("p"), Literal("x"))])
+    loader.write_folder(b.quads_df, f"{tmp_path}/b", "n3", documents=4)
+    assert Graph(loader.read(spark, f"{tmp_path}/b/part-*", "n3")).isomorphic(b)
+    with pytest.raises(ValueError):
+        loader.write_folder(b.quads_df, f"{tmp_path}/c", "html")
+
+
+def test_web_dates(spark):
+    from quadrille.functions.dates import date_time, parse_date_time
+
+    rows = [("1970-01-01T00:00:00Z", 0), ("2004-02-29T04:05:06Z", 1078027506), ("2004-02-29T04:05:06+05:30", 1078007706), ("2004-02-29T04:05:06.5-01:00", 1078031106), ("2004-02", 1075593600), ("1969", -31536000), ("2004-13", None), ("x", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want long")
+    assert df.where(~parse_date_time(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+    shown = df.select("want", date_time(F.col("want")).alias("a"), date_time(F.col("want"), -90).alias("b")).where("want is not null").collect()
+    assert shown[0].a == "1970-01-01T00:00:00Z" and shown[0].b == "1969-12-31T22:30:00-01:30"
+
+
+def test_path_limits_raise(spark):
+    chain = edges(spark, {(k, k + 1) for k in range(9)})
+    seed = spark.createDataFrame([(0,)], "x long")
+    assert closure.paths(chain, seed, depth=12).count() == 10
+    with pytest.raises(Exception, match="RECURSION"):
+        closure.paths(chain, seed, depth=3).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("_edges_")]
