@@ -100,7 +100,7 @@ def test_recursion_matches_brute_force(spark):
 ])
 def test_chains_double_their_reach(spark, program):
     """Recursion on the right, the left and both sides, over a cycle and with stored triples of the head; a rule with two heads isn't a chain."""
-    edges = {(f"n{k}", f"n{k + 1}") for k in range(9)} | {("n9", "n7")}
+    edges = {(f"n{k}", f"n{k + 1}") for k in range(5)} | {("n5", "n3")}
     data = facts(spark, [(i(a), i("parent"), i(b)) for a, b in edges] + [(i("q"), i("anc"), i("n3"))])
     out = Engine(rules(program)).run(data)
     want = brute_closure(edges)
@@ -109,9 +109,9 @@ def test_chains_double_their_reach(spark, program):
     else:
         want |= {("q", "n3")}
     assert has(out.known, "anc") == want
-    for goal in (R.Atom(i("n5"), i("anc"), Var("z")), R.Atom(Var("z"), i("anc"), i("n8"))):
+    for goal in (R.Atom(i("n2"), i("anc"), Var("z")), R.Atom(Var("z"), i("anc"), i("n4"))):
         found = has(magic.answers(data, rules(program), goal), "anc")
-        assert found == {(a, b) for a, b in want if (isinstance(goal.s, Var) or a == "n5") and (isinstance(goal.o, Var) or b == "n8")}
+        assert found == {(a, b) for a, b in want if (isinstance(goal.s, Var) or a == "n2") and (isinstance(goal.o, Var) or b == "n4")}
 
 
 def test_strata_follow_dependencies(spark):
