@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
 next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Rows may have nulls in any column, repeat, share ids, and have further columns of any names; tables may be empty. A null text
+counts as empty: the quality classifier gives it weight 0, near-dedup keeps one text without words, substring dedup drops
+it, decontamination keeps it, and packing gives it its end id. A null id is larger than any other; near-dedup keeps its rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without passages of 25 words or more that a smaller document has; a document of which nothing is left goes."""
+    """The texts without passages of 25 words or more that a document with a smaller id has. A document without words,
+    from the start or then, goes. Twice op1's 13 words, since windows of 13 also repeat by chance (see the README)."""
     cut = without_repeats(docs, min_words=25)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -53,7 +58,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the fitted models, fingerprints or ids; the tests hold the stages against brute force.
+#: SQL can't express the fitted models, fingerprints or ids. The tests hold near-dedup and substring dedup against brute
+#: force on whole tables, and the other stages' operators on small ones.
 ORACLE_SQL = None
 
 
