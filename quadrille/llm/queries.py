@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_words
 
-    return repeated_words(_table(spark, sf_dir, "documents"), min_words=13)
+    return repeated_words(_table(spark, sf_dir, "documents"), min_words=13, every_window=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

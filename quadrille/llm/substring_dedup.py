@@ -14,6 +14,11 @@ next, until no candidates survive.
   ``min_words``, half as many at each level after that, so that all of them together cost less than the deciding level.
   An anchor's window goes on to the next level only if another document has it too. ``longest_level`` is the greatest
   length at which one of a document's anchored windows was found in another document, 0 if none was.
+* With ``every_window`` the anchors' answer is only a lower bound, and ``longest_level`` the greatest length at which any
+  window of the document is in another one. A window of a level can only repeat if each window of ``min_words`` words
+  in it does, which bounds a document's level from above. Where the bounds differ, the document asks: windows between
+  them are represented by the smallest hash among their windows of ``min_words`` words, equal windows by equal
+  ones, and all windows that have an asked representative, in whatever document, are compared in full.
 
 Texts travel as compressed chunks of whole documents. Each chunk sends one entry per distinct window,
 so a passage that a third of all documents shares reaches a reducer once per chunk, not once per
@@ -53,22 +58,22 @@ _Q = 0xD1342543DE82EF95
 _Q_INV = pow(_Q, -1, 1 << 64)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
+def _pack(level: int = 1, /, **arrays: np.ndarray) -> bytes:
     batch = pa.record_batch([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays.values()], list(arrays))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.ZstdCompressor(1).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level).compress(sink.getvalue())
 
 
 def _unpack(body: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_next_batch()
 
 
-def _chunk(limit: int):
+def _chunk(limit: int, level: int):
     def row(held, key):
         table = pa.Table.from_batches(held).combine_chunks()
-        body = _pack(**{n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(table.column_names, table.columns)})
+        body = _pack(level, **{n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in zip(table.column_names, table.columns)})
         return pa.record_batch([pa.array([key], pa.int64()), pa.array([body], pa.binary())], ["chunk", "body"])
 
     def run(batches):
@@ -166,9 +171,10 @@ def _anchored(hi: np.ndarray, one_in: int = ANCHORS) -> np.ndarray:
     return hi & U64(one_in - 1) == 0
 
 
-def _reduce(wide: bool):
+def _reduce(wide: bool, firsts: bool = False):
     """Per bucket (its rows come together): the keys of two documents or more, for each chunk that has
-    one of the later documents, and anchors and keys of a nominating level for any that has them."""
+    one of the later documents, and anchors and keys of a nominating level for any that has them. With
+    ``firsts`` also 32 bits of each other key, for the chunk that has the first document only."""
 
     def bucket(rows):
         hi, lo, doc, many, owner = [], [], [], [], []
@@ -193,15 +199,19 @@ def _reduce(wide: bool):
         differs = np.logical_or.reduceat(many | (doc != low), first)[group]
         later = many | (doc > low)
         keep = (later | (differs & _anchored(hi))) if wide else differs
-        hi, low, owner = hi[keep], low[keep], owner[keep]
-        lo = lo[keep] if wide else lo
-        order = np.argsort(owner, kind="stable")
-        edge = np.append(np.flatnonzero(np.diff(owner[order], prepend=-1)), len(order))
         out = []
-        for a, b in zip(edge[:-1], edge[1:]):
-            by = order[a:b]
-            cols = {"hi": hi[by]} | ({"lo": lo[by], "doc": low[by]} if wide else {})
-            out.append((rows[int(owner[by[0]])]["chunk"], _pack(**cols)))
+
+        def send(keep, **cols):
+            cols, to = {n: c[keep] for n, c in cols.items()}, owner[keep]
+            order = np.argsort(to, kind="stable")
+            edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(order))
+            for a, b in zip(edge[:-1], edge[1:]):
+                by = order[a:b]
+                out.append((rows[int(to[by[0]])]["chunk"], _pack(**{n: c[by] for n, c in cols.items()})))
+
+        send(keep, hi=hi, **({"lo": lo, "doc": low} if wide else {}))
+        if firsts:
+            send(differs & ~keep, first=(hi >> U64(32)).astype(np.uint32))
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["chunk", "hits"])
 
@@ -220,8 +230,8 @@ def _reduce(wide: bool):
 
 def _hits(bodies: list[bytes] | None) -> dict[str, np.ndarray]:
     found = [_unpack(b) for b in bodies or ()]
-    names = found[0].schema.names if found else []
-    return {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in found]) for n in names}
+    names = dict.fromkeys(n for b in found for n in b.schema.names)
+    return {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in found if n in b.schema.names]) for n in names}
 
 
 def _within(keys: np.ndarray, hits: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,45 +264,56 @@ def _full_keys(half: int, full: int, buckets: int):
 
 
 def _flag(full: int):
-    """Over chunks with their hits: the words, which of them go, and the places of repeated anchors."""
+    """Over chunks with their hits: the words, which of them go, the places of repeated anchors, and which
+    windows another document has, as far as the hits tell (those by 32 bits may be wrong)."""
 
     def run(batches):
         for r in _rows(batches):
             w = _Words(r["body"])
             hits = _hits(r["hits"])
             mark = np.zeros(len(w.h) + 1, np.int64)
+            again = np.zeros(len(w.h) + 1, bool)
             anchors = np.zeros(0, np.int64)
             if hits:
                 at = np.flatnonzero(same_row(w.row, full))
                 hi = windows(w.h, full, 1)[at]
+            if "first" in hits:
+                again[at[np.isin((hi >> U64(32)).astype(np.uint32), hits["first"])]] = True
+            if "hi" in hits:
                 at = at[np.isin(hi, hits["hi"])]
                 found, low = _within(w.keys(at, full), hits)
                 at, low = at[found], low[found]
+                again[at] = True
                 anchors = at[_anchored(windows(w.h, full, 1)[at])]
                 at = at[w.docs[w.row[at]] > low]
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + full, -1)
-            yield r["chunk"], w, np.cumsum(mark)[:-1] > 0, anchors
+            yield r["chunk"], w, np.cumsum(mark)[:-1] > 0, anchors, again
 
     return run
 
 
+def _long_windows(w: _Words):
+    """A function of places and a length: the hashes of the windows there, from prefix sums over the words."""
+    power, inverse = _powers(_Q, len(w.h) + 1), _powers(_Q_INV, len(w.h) + 1)
+    sums = np.append(U64(0), np.cumsum(mix(w.h + U64(1)) * power[: len(w.h)]))
+    return lambda a, n: mix((sums[a + n] - sums[a]) * inverse[a] ^ U64(n)).view(np.int64)
+
+
 def _longer(w: _Words, anchors: np.ndarray, full: int) -> dict[int, list[np.ndarray]]:
     """By row: the hashes of each anchor's windows of twice ``full`` words, four times as many, ..., as far as
-    the anchor takes part and the document goes. A window's hash comes from prefix sums over the words."""
+    the anchor takes part and the document goes."""
     words = np.append(np.flatnonzero(np.diff(w.row, prepend=-1)), len(w.row))
     end = words[np.searchsorted(words, anchors, "right")]
     hi = windows(w.h, full, 1)[anchors]
-    power, inverse = _powers(_Q, len(w.h) + 1), _powers(_Q_INV, len(w.h) + 1)
-    sums = np.append(U64(0), np.cumsum(mix(w.h + U64(1)) * power[: len(w.h)]))
+    long = _long_windows(w)
     keys: list[list[int]] = [[] for _ in anchors]
     n, one_in, alive = 2 * full, ANCHORS, np.arange(len(anchors))
     while True:
         alive = alive[(anchors[alive] + n <= end[alive]) & _anchored(hi[alive], one_in)]
         if not len(alive):
             break
-        a = anchors[alive]
-        for k, x in zip(alive.tolist(), mix((sums[a + n] - sums[a]) * inverse[a] ^ U64(n)).view(np.int64).tolist()):
+        for k, x in zip(alive.tolist(), long(anchors[alive], n).tolist()):
             keys[k].append(x)
         n, one_in = 2 * n, 2 * one_in
     out: dict[int, list] = {}
@@ -302,9 +323,43 @@ def _longer(w: _Words, anchors: np.ndarray, full: int) -> dict[int, list[np.ndar
     return out
 
 
-def _digest(full: int):
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the ``n`` values from each place on."""
+    out, k = x, 1
+    while 2 * k <= n:
+        out, k = np.minimum(out[:-k], out[k:]), 2 * k
+    return np.minimum(out[: len(x) - n + 1], out[n - k :])
+
+
+def _representatives(w: _Words, again: np.ndarray, full: int) -> dict[int, list[list[int]]]:
+    """By row: the distinct representatives of its windows of twice ``full`` words, four times as many, ..., of
+    which no part of ``full`` words is found in one document only."""
+    hi = windows(w.h, full, 1)
+    alone = np.append(0, np.cumsum(~again[: len(hi)]))
+    out: dict[int, list] = {}
+    n = 2 * full
+    while n <= len(w.h):
+        size = n - full + 1
+        at = np.flatnonzero(alone[size:] == alone[:-size])  # parts overlap, so these windows lie in one row each
+        if not len(at):
+            break
+        least, row = _least(hi, size)[at], w.row[at]
+        new = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]))
+        least, row = least[new], row[new]
+        order = np.lexsort((least, row))
+        least, row = least[order], row[order]
+        new = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]))
+        keys, row = mix(least[new] ^ U64(n)).view(np.int64), row[new]
+        edge = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            out.setdefault(int(row[a]), []).append(keys[a:b].tolist())
+        n *= 2
+    return out
+
+
+def _digest(full: int, every_window: bool):
     def run(batches):
-        for chunk, w, gone, anchors in _flag(full)(batches):
+        for chunk, w, gone, anchors, again in _flag(full)(batches):
             edge = np.searchsorted(w.row, np.arange(len(w.docs) + 1))
             lost = np.append(0, np.cumsum(gone))[edge]
             sums = []
@@ -313,11 +368,11 @@ def _digest(full: int):
                 a, b = edge[k], edge[k + 1]
                 s, e = w.starts[a:b][~gone[a:b]].tolist(), w.ends[a:b][~gone[a:b]].tolist()
                 sums.append(hashlib.sha256(b" ".join([raw[i:j] for i, j in zip(s, e)])).hexdigest())
-            longer = _longer(w, anchors, full)
-            keys = pa.array([longer.get(k, []) for k in range(len(w.docs))], pa.list_(pa.list_(pa.int64())))
+            longer, asked = _longer(w, anchors, full), _representatives(w, again, full) if every_window else {}
+            keys, asks = (pa.array([x.get(k, []) for k in range(len(w.docs))], pa.list_(pa.list_(pa.int64()))) for x in (longer, asked))
             place = pa.array(np.arange(len(w.docs)))
-            cols = [w.batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(edge)), pa.array(np.diff(lost)), pa.array(sums), pa.array([chunk] * len(w.docs), pa.int64()), place, keys]
-            yield pa.record_batch(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "chunk", "place", "anchors"])
+            cols = [w.batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(edge)), pa.array(np.diff(lost)), pa.array(sums), pa.array([chunk] * len(w.docs), pa.int64()), place, keys, asks]
+            yield pa.record_batch(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "chunk", "place", "anchors", "representatives"])
 
     return run
 
@@ -326,7 +381,7 @@ def _cut(full: int):
     """The texts without the flagged words; the white space after a removed word goes with it."""
 
     def run(batches):
-        for _, w, gone, _ in _flag(full)(batches):
+        for _, w, gone, _, _ in _flag(full)(batches):
             drop = np.zeros(len(w.data) + 1, np.int64)
             end = w.off[w.row + 1]
             until = np.append(w.starts[1:], len(w.data))
@@ -344,26 +399,61 @@ def _cut(full: int):
     return run
 
 
-def _levels(docs: DataFrame, min_words: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, body, hits) of every chunk: hits are its windows of ``min_words`` words that a smaller
+def _only(batches):
+    """The chunks without the rows that aren't among their ``places``, with the places of those that are."""
+    for r in _rows(batches):
+        batch, places = _unpack(r["body"]), pa.array(sorted(r["places"]), pa.int64())
+        cols = {n: batch.column(n).take(places) for n in ("doc_id", "text")}
+        yield pa.record_batch([pa.array([r["chunk"]], pa.int64()), pa.array([_pack(**cols, place=places)], pa.binary())], ["chunk", "body"])
+
+
+def _of_row(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(keys.view(U64) ^ mix(place.astype(U64)))
+
+
+def _asked_windows(full: int):
+    """Over reduced chunks with the (place, key) of asked representatives: the windows that these stand for."""
+
+    def run(batches):
+        for r in _rows(batches):
+            w = _Words(r["body"])
+            place = w.batch.column("place").to_numpy()
+            want = _of_row(np.array([x["key"] for x in r["asked"]], np.int64), np.array([x["place"] for x in r["asked"]], np.int64))
+            hi, long, n = windows(w.h, full, 1), _long_windows(w), 2 * full
+            while n <= len(w.h):
+                at = np.flatnonzero(same_row(w.row, n))
+                if not len(at):
+                    break
+                key = mix(_least(hi, n - full + 1)[at] ^ U64(n)).view(np.int64)
+                at = at[np.isin(_of_row(key, place[w.row[at]]), want)]
+                row, key = w.row[at], long(at, n)
+                cols = [np.full(len(at), r["chunk"]), place[row], w.docs[row], np.full(len(at), n), key]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["chunk", "place", "doc", "level", "key"])
+                n *= 2
+
+    return run
+
+
+def _levels(docs: DataFrame, min_words: int, chunk_bytes: int, every_window: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chunk, body) and (chunk, body, hits) of every chunk: hits are its windows of ``min_words`` words that a smaller
     document has too."""
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     half, buckets = (min_words + 1) // 2, 4 * parts
-    chunks = written(docs.mapInArrow(_chunk(chunk_bytes), CHUNKS), "chunks")
+    chunks = written(docs.mapInArrow(_chunk(chunk_bytes, 9 if every_window else 1), CHUNKS), "chunks")
     placed = chunks.repartition(parts, "chunk")
 
     def gathered(keys: DataFrame, wide: bool) -> DataFrame:
         rows = keys.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
-        hits = rows.mapInArrow(_reduce(wide), HITS)
+        hits = rows.mapInArrow(_reduce(wide, wide and every_window), HITS)
         return hits.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
 
     # both joins below are left joins, so that one exchange of the chunks serves them both
     halves = gathered(chunks.mapInArrow(_seed_keys(half, min_words, buckets), KEYS), False)
     fulls = gathered(placed.join(halves, "chunk", "left").mapInArrow(_full_keys(half, min_words, buckets), KEYS), True)
-    return placed.join(fulls, "chunk", "left")
+    return chunks, placed.join(fulls, "chunk", "left")
 
 
 def _extended(anchors: DataFrame, full: int) -> DataFrame:
@@ -383,15 +473,46 @@ def _extended(anchors: DataFrame, full: int) -> DataFrame:
     return found.groupBy("chunk", "place").agg(F.max("level").alias("longest_level"))
 
 
-def repeated_words(docs: DataFrame, min_words: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_removed, the SHA-256 of the kept words, and longest_level."""
+def _completed(rows: DataFrame, chunks: DataFrame, bound: DataFrame, full: int) -> DataFrame:
+    """(chunk, place, longest_level) of the rows with any window that another document has: ``bound`` has what
+    anchors found. Rows with representatives at levels beyond that ask for them."""
+    held = rows.where(F.size("representatives") > 0).select("chunk", "place", "representatives")
+    level = F.expr(f"shiftleft({2 * full}L, k)")
+    undecided = (
+        held.select("chunk", "place", F.size("representatives").alias("n")).join(bound, ["chunk", "place"], "left")
+        .select("chunk", "place", F.coalesce("longest_level", F.lit(0)).alias("known"), (F.col("n") - 1).alias("k"))
+        .where(level > F.col("known")).drop("k")
+    )
+    asks = (
+        held.join(undecided, ["chunk", "place"]).select("known", F.posexplode("representatives").alias("k", "keys"))
+        .where(level > F.col("known")).select(F.explode("keys").alias("key")).distinct()
+    )
+    keys = held.select("chunk", "place", F.explode(F.flatten("representatives")).alias("key"))
+    asked = keys.join(asks, "key", "left_semi").groupBy("chunk").agg(F.collect_set("place").alias("places"), F.collect_list(F.struct("place", "key")).alias("asked"))
+    asked = written(asked, "asked")
+    # the places, a few bytes per row that takes part, go to the chunks; of the chunks only these rows are shuffled
+    texts = chunks.join(F.broadcast(asked.select("chunk", "places")), "chunk").select("chunk", "places", "body").mapInArrow(_only, CHUNKS)
+    schema = "chunk long, place long, doc long, level long, key long"
+    found = written(texts.join(asked.select("chunk", "asked"), "chunk").select("chunk", "body", "asked").mapInArrow(_asked_windows(full), schema), "asked-windows")
+    several = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
+    more = found.join(several, "key", "left_semi").select("chunk", "place", F.col("level").alias("longest_level"))
+    return bound.union(more).groupBy("chunk", "place").agg(F.max("longest_level").alias("longest_level"))
+
+
+def repeated_words(docs: DataFrame, min_words: int = 13, chunk_bytes: int = CHUNK_BYTES, every_window: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_words, n_removed, the SHA-256 of the kept words, and longest_level, which
+    looks at every window or at anchors only."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, chunk long, place long, anchors array<array<long>>"
-    rows = written(_levels(docs, min_words, chunk_bytes).mapInArrow(_digest(min_words), schema), "digests")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, chunk long, place long, anchors array<array<long>>, representatives array<array<long>>"
+    chunks, levels = _levels(docs, min_words, chunk_bytes, every_window)
+    rows = written(levels.mapInArrow(_digest(min_words, every_window), schema), "digests")
     anchors = rows.where(F.size("anchors") > 0).select("chunk", "place", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.explode("anchors").alias("keys"))
-    return rows.join(_extended(anchors, min_words), ["chunk", "place"], "left").select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest_level", F.lit(0)).cast("long").alias("longest_level"))
+    found = _extended(anchors, min_words)
+    if every_window:
+        found = _completed(rows, chunks, found, min_words)
+    return rows.join(found, ["chunk", "place"], "left").select("doc_id", "n_words", "n_removed", "kept_sha256", F.coalesce("longest_level", F.lit(0)).cast("long").alias("longest_level"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The rows of ``docs`` with all their columns, their texts without repeated passages."""
-    return _levels(docs, min_words, chunk_bytes).mapInArrow(_cut(min_words), docs.schema)
+    return _levels(docs, min_words, chunk_bytes)[1].mapInArrow(_cut(min_words), docs.schema)

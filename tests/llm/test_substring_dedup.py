@@ -108,3 +108,56 @@ def test_empty_and_null_id(spark):
     most = (1 << 63) - 1
     got = repeated_words(spark.createDataFrame([(most, text)], "doc_id long, text string")).collect()
     assert [(r.doc_id, r.n_removed) for r in got] == [(most, 0)]
+
+
+def longest_of_all(rows, n):
+    split = [(i, WORD.findall(t or "")) for i, t in rows]
+    out, size, alive = {i: 0 for i, _ in rows}, 2 * n, True
+    while alive:
+        of = {}
+        for i, w in split:
+            for k in range(len(w) - size + 1):
+                of.setdefault(tuple(w[k : k + size]), set()).add(i)
+        alive = {i for ids in of.values() if len(ids) > 1 for i in ids}
+        out |= dict.fromkeys(alive, size)
+        size *= 2
+    return out
+
+
+def test_longest_levels_of_every_window(spark):
+    rng = random.Random(4)
+    rows, k = rows_of_all_kinds(), 1000
+    for size in list(range(24, 60)) + [103, 104, 207, 208, 415, 416]:  # few windows of a level, most of them no anchors
+        passage = " ".join(f"r{rng.randrange(10**6)}" for _ in range(size))
+        rows += [(k, f"a{k} {passage} b{k}"), (k + 1, f"c{k} d{k} {passage}")]
+        # every 13 words of the next are found elsewhere, not all of them in one document
+        rows += [(k + 2, " ".join(passage.split()[:20])), (k + 3, " ".join(passage.split()[5:]))]
+        k += 10
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, chunk_bytes in ((2, 4 << 20), (5, 2000), (13, 4 << 20), (13, 1000)):
+        want = longest_of_all(rows, n)
+        got = repeated_words(df, n, chunk_bytes, every_window=True).collect()
+        assert {r.doc_id: r.longest_level for r in got} == want
+        assert want != longest(rows, n)  # anchors alone miss some
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: v[:3] for i, v in brute(rows, n).items()}
+
+
+def test_query_looks_at_every_window(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    passages = [" ".join(f"z{size}x{k}" for k in range(size)) for size in range(26, 46)]
+    rows = [(2 * k + j, f"u{k}{j} {p} v{k}{j}") for k, p in enumerate(passages) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op1_substring_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.longest_level for r in got} == {i: 26 for i, _ in rows} == longest_of_all(rows, 13)
+
+
+def test_every_window_of_empty_tables_and_null_ids(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert repeated_words(empty, every_window=True).count() == 0
+    text = " ".join(f"w{k}" for k in range(26))
+    df = spark.createDataFrame([(None, text), (5, text), (5, text), (6, "w1"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 99, r.longest_level) for r in repeated_words(df, every_window=True).collect())
+    assert got == [(5, 26), (5, 26), (6, 0), (7, 0), (99, 26)]
+    got = repeated_words(df.where("doc_id > 4"), every_window=True).collect()
+    assert {r.longest_level for r in got} == {0}
