@@ -492,6 +492,9 @@ def _completed(rows: DataFrame, chunks: DataFrame, bound: DataFrame, full: int)
     asked = written(asked, "asked")
     # the places, a few bytes per row that takes part, go to the chunks; of the chunks only these rows are shuffled
     texts = chunks.join(F.broadcast(asked.select("chunk", "places")), "chunk").select("chunk", "places", "body").mapInArrow(_only, CHUNKS)
+    # shuffled even where the next join needs no shuffle: else its tasks would run both functions at once, each in a worker of its
+    # own, and executors keep all the workers they ever had, each as large as its largest chunk made it
+    texts = texts.repartition("chunk")
     schema = "chunk long, place long, doc long, level long, key long"
     found = written(texts.join(asked.select("chunk", "asked"), "chunk").select("chunk", "body", "asked").mapInArrow(_asked_windows(full), schema), "asked-windows")
     several = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")

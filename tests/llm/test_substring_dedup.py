@@ -161,3 +161,36 @@ def test_every_window_of_empty_tables_and_null_ids(spark):
     assert got == [(5, 26), (5, 26), (6, 0), (7, 0), (99, 26)]
     got = repeated_words(df.where("doc_id > 4"), every_window=True).collect()
     assert {r.longest_level for r in got} == {0}
+
+
+def workers_of_a_task(plan, stages):
+    """The Python nodes of the stage that ``plan`` ends, each a worker of every task; those of the stages before go to ``stages``."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return workers_of_a_task(plan.executedPlan(), stages)
+    inner = [plan.plan()] if "QueryStage" in name else [plan.children().apply(k) for k in range(plan.children().size())]
+    n = sum(workers_of_a_task(x, stages) for x in inner) + (name == "MapInArrow")
+    if "Exchange" in name:
+        stages.append(n)
+        return 0
+    return n
+
+
+def test_a_task_has_one_worker(spark, monkeypatch):
+    from quadrille.llm import substring_dedup as S
+
+    written, plans, stages = S.written, [], []
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return rows
+
+    monkeypatch.setattr(S, "written", lambda df, name: (run(df), written(df, name))[1])
+    passages = [" ".join(f"v{size}x{k}" for k in range(size)) for size in range(26, 60)]
+    rows = [(2 * k + j, f"u{k}{j} {p} v{k}{j}") for k, p in enumerate(passages) for j in (0, 1)]
+    got = run(repeated_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_window=True))
+    assert {r.doc_id: r.longest_level for r in got} == longest_of_all(rows, 13)
+    for plan in plans:
+        stages.append(workers_of_a_task(plan, stages))
+    assert sum(stages) >= 7 and max(stages) == 1  # small tables, whose joins are broadcast, too
