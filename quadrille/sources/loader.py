@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import components
 from ..terms import decode, encode
 from . import n3, ntriples, turtle, xmlformats
 
 FORMATS = {".nt": "nt", ".nq": "nt", ".ttl": "n3", ".n3": "n3", ".rdf": "xml", ".owl": "xml", ".xml": "xml", ".trix": "trix", ".html": "rdfa", ".xhtml": "rdfa"}
 SCHEMA = "s string, p string, o string, g string"
+#: How many triples a document of ``write_folder`` has about, and how many a batch of the parsers' has at most.
+DOCUMENT, BATCH = 50_000, 10_000
 
 
-def parse_text(text: str, form: str, base: str = "", graph: str = "") -> list[tuple[str, str, str, str]]:
-    """A document's quads as term strings. Blank labels are the document's own."""
+def parse_text(text: str, form: str, base: str = "", graph: str = "") -> Iterator[tuple[str, str, str, str]]:
+    """A document's quads as term strings, as they are read. Blank labels are the document's own."""
+    if not text.strip():
+        return
     if form == "n3":
-        found = n3.parse(text, base).triples
+        found = n3.N3Parser(text, base).stream()
     elif form == "xml":
         found = xmlformats.parse_rdfxml(text, base)
     elif form == "trix":
@@ -27,8 +34,9 @@ def parse_text(text: str, form: str, base: str = "", graph: str = "") -> list[tu
         found = xmlformats.parse_rdfa(text, base)
     else:
         raise ValueError(f"unknown format {form}")
-    found = [t for t in found if not any(isinstance(x, n3.Formula) for x in t)]
-    return [(encode(t[0]), encode(t[1]), encode(t[2]), f"<{t[3] if len(t) > 3 and t[3] else graph}>" if (len(t) > 3 and t[3]) or graph else "") for t in found]
+    for t in found:
+        if not any(isinstance(x, n3.Formula) for x in t):
+            yield encode(t[0]), encode(t[1]), encode(t[2]), f"<{t[3] if len(t) > 3 and t[3] else graph}>" if (len(t) > 3 and t[3]) or graph else ""
 
 
 def read(spark: SparkSession, path: str, form: str | None = None, graph: str = "") -> DataFrame:
@@ -41,10 +49,11 @@ def read(spark: SparkSession, path: str, form: str | None = None, graph: str = "
 
     def run(batches):
         for b in batches:
-            for where, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = parse_text(body.decode("utf-8"), form, where, graph)
-                cols = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4
-                yield pa.record_batch([*cols, pa.array([where] * len(rows), pa.string())], ["s", "p", "o", "g", "file"])
+            for k in range(b.num_rows):
+                where = b.column(0)[k].as_py()
+                found = parse_text(b.column(1)[k].as_py().decode("utf-8"), form, where, graph)
+                while rows := list(islice(found, BATCH)):
+                    yield pa.record_batch([*[pa.array(c, pa.string()) for c in zip(*rows)], pa.array([where] * len(rows), pa.string())], ["s", "p", "o", "g", "file"])
 
     rows = files.mapInArrow(run, SCHEMA + ", file string")
     apart = lambda c: F.when(F.col(c).startswith("_:"), F.concat(c, F.lit("_"), F.substring(F.sha1("file"), 1, 8))).otherwise(F.col(c)).alias(c)
@@ -93,19 +102,28 @@ def serialize(quads: DataFrame, form: str, prefixes: dict[str, str] | None = Non
     raise ValueError(f"unknown format {form}")
 
 
-def write_folder(quads: DataFrame, path: str, form: str, documents: int = 8, prefixes: dict[str, str] | None = None) -> None:
-    """A graph of any size as a folder of documents, each written by a task from the triples of its subjects.
+def _apart(rows: DataFrame, documents: int) -> DataFrame:
+    """Triples with blank nodes in one partition for all that are linked by these."""
+    blank = lambda c: F.col(c).startswith("_:")
+    linked = components(rows.where(blank("s") & blank("o")).select(F.col("s").alias("a"), F.col("o").alias("b"))).toDF("node", "component")
+    own = rows.withColumn("node", F.when(blank("s"), F.col("s")).otherwise(F.col("o"))).join(linked, "node", "left")
+    return own.repartition(documents, F.coalesce("component", "node")).select(*rows.columns)
+
 
-    Labels of blank nodes hold within a document, so a graph with blank nodes takes one document unless it has
-    none that two documents would share; N-Triples have no documents and no such limit."""
+def write_folder(quads: DataFrame, path: str, form: str, documents: int | None = None, prefixes: dict[str, str] | None = None) -> None:
+    """A graph of any size as a folder of documents, each written by a task from neighbouring triples in the order of
+    their terms. There are as many documents as keep each at about ``DOCUMENT`` triples, unless their number is given.
+
+    Labels of blank nodes hold within a document, so triples that blank nodes link lie in one document, however
+    many they are; N-Triples have no documents and no such limit."""
     if form == "nt":
         ntriples.write(quads, path)
         return
     if form not in ("n3", "xml", "pretty-xml", "trix"):
         raise ValueError(f"unknown format {form}")
     blank = F.col("s").startswith("_:") | F.col("o").startswith("_:")
-    if documents > 1 and not quads.where(blank).limit(1).isEmpty():
-        documents = 1
+    many, loose = quads.agg(F.count(F.lit(1)), F.count(F.when(blank, 1))).first()
+    share = lambda n: documents or -(-n // DOCUMENT) or 1
 
     def run(batches):
         rows = [tuple(decode(c) if c else None for c in r) for b in batches for r in zip(*[x.to_pylist() for x in b.columns])]
@@ -117,7 +135,14 @@ def write_folder(quads: DataFrame, path: str, form: str, documents: int = 8, pre
             yield pa.record_batch([pa.array([text], pa.string())], ["value"])
 
     rows = quads.select("s", "p", "o", "g") if form == "trix" else quads.select("s", "p", "o", F.lit("").alias("g"))
-    rows.distinct().repartition(documents, "s").mapInArrow(run, "value string").write.text(path)
+    rows = rows.distinct()
+    if documents == 1 or not many:
+        parts = rows.repartition(1)
+    else:
+        parts = rows.where(~blank).repartitionByRange(share(many - loose), "s", "p", "o")
+        if loose:
+            parts = parts.union(_apart(rows.where(blank), share(loose)))
+    parts.mapInArrow(run, "value string").write.text(path)
 
 
 def convert(spark: SparkSession, source: str, target: str, form: str | None = None) -> None:

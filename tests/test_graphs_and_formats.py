@@ -326,6 +326,33 @@ def test_folders_of_documents(spark, tmp_path):
         loader.write_folder(b.quads_df, f"{tmp_path}/c", "html")
 
 
+def test_documents_keep_their_size_as_graphs_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loader, "DOCUMENT", 20)
+    hub = Graph.of(spark, [(i("hub"), i("p"), Literal(f"v{k}")) for k in range(400)])  # one subject takes several documents, too
+    for form, parser in (("n3", "n3"), ("xml", "xml"), ("pretty-xml", "xml"), ("trix", "trix")):
+        loader.write_folder(hub.quads_df, f"{tmp_path}/{form}", form)
+        found = [f.read_text() for f in (tmp_path / form).glob("part-*")]
+        assert len(found) >= 15 and max(len(list(loader.parse_text(t, parser))) for t in found) <= 60
+        back = loader.read(spark, f"{tmp_path}/{form}/part-*", parser)
+        assert back.count() == 400 and back.exceptAll(hub.quads_df).isEmpty()
+
+
+def test_blank_nodes_stay_with_those_they_are_linked_to(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loader, "DOCUMENT", 20)
+    rows = [t for k in range(40) for t in ((i(f"s{k}"), i("p"), Bnode(f"a{k}")), (Bnode(f"a{k}"), i("q"), Bnode(f"b{k}")), (Bnode(f"b{k}"), i("r"), Literal(str(k))), (Bnode(f"b{k}"), i("r"), i(f"s{k}")))]
+    g = Graph.of(spark, [*rows, *[(i(f"x{k}"), i("p"), i("y")) for k in range(40)]])
+    loader.write_folder(g.quads_df, f"{tmp_path}/b", "n3")
+    assert len(list((tmp_path / "b").glob("part-*"))) > 4
+    assert Graph(loader.read(spark, f"{tmp_path}/b/part-*", "n3")).isomorphic(g)
+
+
+def test_n3_is_read_statement_by_statement():
+    read = n3.N3Parser(f"<{E}a> <{E}p> 1 . <{E}b> <{E}p> 2 . <{E}c> broken }}").stream()
+    assert next(read)[0] == i("a") and next(read)[0] == i("b")
+    with pytest.raises(n3.SyntaxFault):
+        next(read)
+
+
 def test_web_dates(spark):
     from quadrille.functions.dates import date_time, parse_date_time
 
