@@ -27,9 +27,9 @@ def parse_text(text: str, form: str, base: str = "", graph: str = "") -> Iterato
     if form == "n3":
         found = n3.N3Parser(text, base).stream()
     elif form == "xml":
-        found = xmlformats.parse_rdfxml(text, base)
+        found = xmlformats.stream_rdfxml(text, base)
     elif form == "trix":
-        found = xmlformats.parse_trix(text)
+        found = xmlformats.stream_trix(text)
     elif form == "rdfa":
         found = xmlformats.parse_rdfa(text, base)
     else:

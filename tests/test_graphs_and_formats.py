@@ -353,6 +353,16 @@ def test_n3_is_read_statement_by_statement():
         next(read)
 
 
+def test_xml_is_read_element_by_element():
+    rdf = xmlformats.stream_rdfxml(f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="{E}"><e:C rdf:about="{E}a"><e:p>1</e:p></e:C><rdf:Description rdf:about="{E}b">' + " " * 100_000 + "</broken>")
+    assert next(rdf) == (i("a"), Iri(RDF + "type"), i("C")) and next(rdf) == (i("a"), i("p"), Literal("1"))
+    trix = xmlformats.stream_trix(f'<TriX xmlns="{xmlformats.TRIX}"><graph><uri>{E}g</uri><triple><uri>{E}a</uri><uri>{E}p</uri><id>x</id></triple>' + " " * 100_000 + "</broken>")
+    assert next(trix) == (i("a"), i("p"), Bnode("x"), E + "g")
+    for read in (rdf, trix):
+        with pytest.raises(Exception, match="mismatched"):
+            list(read)
+
+
 def test_web_dates(spark):
     from quadrille.functions.dates import date_time, parse_date_time
 
