@@ -18,20 +18,51 @@ def words(text: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
 
 
+# Words travel as a list a subject and predicate: they are compared within it, and its terms aren't repeated for each word.
+
+
+def _once(lists: DataFrame) -> DataFrame:
+    return lists.groupBy("s", "p").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+
+
+def word_lists(triples: DataFrame) -> DataFrame:
+    """(s, p, words): the words of the literals of a subject and predicate, held in one row."""
+    return _once(triples.where(T.is_literal(F.col("o"))).select("s", "p", words(T.lex(F.col("o"))).alias("words")))
+
+
+def with_words(lists: DataFrame, added: DataFrame) -> DataFrame:
+    return _once(lists.union(added))
+
+
+def without_words(lists: DataFrame, removed: DataFrame, rest: DataFrame) -> DataFrame:
+    """The lists without what only the removed triples' lists have; ``rest``: the lists of the triples that stay."""
+    less = lambda c, name: F.array_except(c, F.coalesce(F.col(name), F.array().cast("array<string>")))
+    gone = removed.join(rest.withColumnRenamed("words", "stay"), ["s", "p"], "left").select("s", "p", less("words", "stay").alias("gone"))
+    return lists.join(gone, ["s", "p"], "left").select("s", "p", less("words", "gone").alias("words"))
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, s, p) of word lists."""
+    return lists.select(F.explode("words").alias("term"), "s", "p")
+
+
+def _lists(ix: DataFrame) -> DataFrame:
+    return ix.groupBy("s", "p").agg(F.collect_list("term").alias("words"))
+
+
 def index(triples: DataFrame) -> DataFrame:
     """(term, s, p): a row for each word of a literal, once per subject and predicate."""
-    rows = triples.where(T.is_literal(F.col("o"))).select(F.explode(words(T.lex(F.col("o")))).alias("term"), "s", "p")
-    return rows.distinct()
+    return postings(word_lists(triples))
 
 
 def add(ix: DataFrame, triples: DataFrame) -> DataFrame:
-    return ix.union(index(triples)).distinct()
+    return postings(with_words(_lists(ix), word_lists(triples)))
 
 
 def remove(ix: DataFrame, triples: DataFrame, rest: DataFrame) -> DataFrame:
     """The index without what only the removed triples had; ``rest``: the triples that stay."""
-    gone = index(triples).join(index(rest.join(triples.select("s", "p").distinct(), ["s", "p"], "left_semi")), ["term", "s", "p"], "left_anti")
-    return ix.join(gone, ["term", "s", "p"], "left_anti")
+    near = rest.join(triples.select("s", "p").distinct(), ["s", "p"], "left_semi")
+    return postings(without_words(_lists(ix), word_lists(triples), word_lists(near)))
 
 
 def search(ix: DataFrame, query: str | list[str], predicate: str | None = None) -> DataFrame:

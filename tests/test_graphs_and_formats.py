@@ -363,6 +363,46 @@ def test_xml_is_read_element_by_element():
             list(read)
 
 
+def test_lines_are_matched_once(spark):
+    df = spark.createDataFrame([(f'<{E}a> <{E}p> "1"^^<{XSD}integer> .',), (f'_:x<{E}p>"a\\n^^<b>"<{E}g>.# c\r',), (f'<{E}a>\n<{E}p>\n<{E}b> .\n',)], "value string")
+    found = ntriples.parse_lines(df)
+    assert {tuple(r) for r in found.collect()} == {(f"<{E}a>", f"<{E}p>", f'"1"^^{XSD}integer', ""), ("_:x", f"<{E}p>", '"a\n^^<b>"', f"<{E}g>"), (f"<{E}a>", f"<{E}p>", f"<{E}b>", "")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(value") == 1
+    for bad in (f"<{E}a> <{E}p>", f"<{E}a>\n<{E}p>\n<{E}b>\n\n", f'<{E}a> <{E}p> "a\nb" .', f"<{E}a>\n<{E}p>\n<{E}b>\n"):
+        with pytest.raises(Exception, match="not a statement"):
+            ntriples.parse_lines(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_a_folder_of_documents_is_one_file_of_a_folder(spark, tmp_path):
+    g = Graph.of(spark, [(i(f"s{k}"), i("p"), Literal(f"v{k}")) for k in range(20)])
+    for name, form in (("a.ttl", "n3"), ("b.rdf", "xml"), ("c.nt", "nt"), ("d.trix", "trix")):
+        loader.write_folder(g.quads_df, f"{tmp_path}/{name}", form, documents=3)
+    got = {r["g"].rsplit("/", 1)[1]: r["count"] for r in loader.read_folder(spark, str(tmp_path)).groupBy("g").count().collect()}
+    assert got == {"a.ttl>": 20, "b.rdf>": 20, "c.nt>": 20, "d.trix>": 20}
+
+
+def test_reach_makes_only_what_it_finds_distinct(spark, monkeypatch):
+    plans = []
+    add = closure.Rounds.add
+    monkeypatch.setattr(closure.Rounds, "add", lambda self, df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), add(self, df))[1])
+    e = edges(spark, {(1, 2), (2, 3)})
+    assert {(r.node, r.depth) for r in closure.reachable(e.union(e), spark.createDataFrame([(1,)], "x long")).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert all(p.count("Aggregate") == 1 for p in plans[1:])
+
+
+def test_words_travel_as_lists(spark):
+    rows = [(f"<{E}d{k % 5}>", f"<{E}p{k % 2}>", f'"{w} shared w{k}"@en') for k, w in enumerate("one two three four five one two six seven eight nine ten".split())]
+    df = lambda part: spark.createDataFrame(part, "s string, p string, o string")
+    want = lambda part: {(w, s, p) for s, p, o in part for w in o[1:-4].split()}
+    whole, gone, stay = df(rows), rows[::3], [r for k, r in enumerate(rows) if k % 3]
+    less = text.remove(text.index(whole), df(gone), df(stay))
+    assert sorted(map(tuple, less.collect())) == sorted(want(stay))
+    assert sorted(map(tuple, text.add(less, df(gone[:2] + stay[:1])).collect())) == sorted(want(stay) | want(gone[:2]))
+    plan = text.index(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")  # the plan's top comes first
+
+
 def test_web_dates(spark):
     from quadrille.functions.dates import date_time, parse_date_time
 
