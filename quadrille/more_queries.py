@@ -16,7 +16,7 @@ from .operators.stores import QuadStore
 from .plans.algebra import features
 from .plans.compile import Engine
 from .plans.parser import parse as parse_query
-from .queries import ANCESTOR, PREFIXES, _graph, _key, _part_facts, _parts, _PARTS, _rules, query, sparql
+from .queries import ANCESTOR, PREFIXES, _graph, _key, _part_facts, _parts, _PARTS, _rules, _spread, query, sparql
 from .rules import ast as R
 from .rules import magic, owl
 from .rules.engine import Engine as Rules
@@ -134,7 +134,7 @@ def _customers(quads: DataFrame) -> DataFrame:
 
 @query(_CUSTOMERS)
 def ntriples_values(spark, sf):
-    return _customers(ntriples.parse_lines(ntriples.lines(_graph(spark, sf, "customer").quads_df)))
+    return _customers(ntriples.parse_lines(ntriples.lines(_spread(spark, sf, "customer").quads_df)))
 
 
 def _through(form: str, suffix: str):

@@ -36,7 +36,7 @@ def _decoded(c: Column) -> Column:
 
 def _term(c: Column) -> Column:
     """From the written form to the term string; ``^^<dt>`` loses its brackets."""
-    plain = F.when(c.rlike(r"\^\^<[^\"]*>$"), F.regexp_replace(c, r"\^\^<([^\"]*)>$", r"^^$1")).otherwise(c)
+    plain = F.when(F.contains(c, F.lit('"^^<')) & c.rlike(r"\^\^<[^\"]*>$"), F.regexp_replace(c, r"\^\^<([^\"]*)>$", r"^^$1")).otherwise(c)
     return F.when(F.contains(c, F.lit("\\")), _decoded(plain)).otherwise(plain)
 
 
@@ -44,7 +44,10 @@ def parse_lines(lines: DataFrame, graph: Column | str = "") -> DataFrame:
     """(s, p, o, g) of a column of lines; comments and blank lines are left out, anything else must parse."""
     line = F.col(lines.columns[0])
     rows = lines.where(~line.rlike(r"^\s*(#.*)?$"))
-    part = lambda k: F.regexp_extract(line, LINE, k)
+    # one match a line: no part holds a line break, so that breaks tell the parts from each other
+    rows = rows.select("*", F.split(F.regexp_replace(line, LINE, "$1\n$2\n$3\n$4\n"), "\n").alias("_parts"))
+    broken = F.contains(line, F.lit("\n"))
+    part = lambda k: F.when(broken, F.regexp_extract(line, LINE, k)).when(F.size("_parts") == 5, F.get("_parts", F.lit(k - 1))).otherwise("")
     fault = F.raise_error(F.concat(F.lit("not a statement: "), line))
     g = graph if isinstance(graph, Column) else F.lit(f"<{graph}>" if graph else "")
     out = rows.select(F.when(part(1) != "", _term(part(1))).otherwise(fault.cast("string")).alias("s"), _term(part(2)).alias("p"), _term(part(3)).alias("o"), F.when(part(4) != "", _term(part(4))).otherwise(g).alias("g"))
