@@ -185,14 +185,11 @@ def results_as_xml(spark, sf):
 
 @query("SELECT 'a' AS file, count(*) AS triples FROM customer UNION ALL SELECT 'b', count(*) FROM nation UNION ALL SELECT 'c', count(*) FROM region")
 def folder_of_formats(spark, sf):
-    """A folder with a document in each of three formats; a file's name names its graph."""
-    from pathlib import Path
-
-    path = Path(new_folder(spark, "mixed").removeprefix("file://"))
-    path.mkdir(parents=True)
+    """A folder with documents in each of three formats, written and read by the executors; their name names their graph."""
+    path = new_folder(spark, "mixed")
     for name, t, p, form in (("a.ttl", "customer", "c_name", "n3"), ("b.rdf", "nation", "n_name", "xml"), ("c.nt", "region", "r_name", "nt")):
-        (path / name).write_text(loader.serialize(_graph(spark, sf, t).quads(None, Iri(EX + p), None), form), encoding="utf-8")
-    return loader.read_folder(spark, str(path)).groupBy(F.regexp_extract("g", "([a-z])[.][a-z]+>$", 1).alias("file")).agg(F.count(F.lit(1)).alias("triples"))
+        loader.write_folder(_graph(spark, sf, t).quads(None, Iri(EX + p), None), f"{path}/{name}", form)
+    return loader.read_folder(spark, path.removeprefix("file://")).groupBy(F.regexp_extract("g", "([a-z])[.][a-z]+>$", 1).alias("file")).agg(F.count(F.lit(1)).alias("triples"))
 
 
 @query("SELECT n_nationkey AS n, n_name AS name FROM nation")

@@ -61,10 +61,15 @@ def read(spark: SparkSession, path: str, form: str | None = None, graph: str = "
 
 
 def read_folder(spark: SparkSession, folder: str, graph_from_file: bool = True) -> DataFrame:
-    """All files with a known extension below a folder; a file's name names its graph."""
+    """All files with a known extension below a folder; a file's name names its graph. A folder of documents with such
+    an extension, as ``write_folder`` makes it, counts as one file."""
     parts = []
     for suffix, form in FORMATS.items():
         found = sorted(Path(folder).rglob("*" + suffix))
+        for f in [f for f in found if f.is_dir()]:
+            found.remove(f)
+            if any(f.glob("part-*")):
+                parts.append(read(spark, f"{f}/part-*", form, f.resolve().as_uri() if graph_from_file else ""))
         for f in found if form != "nt" else []:
             parts.append(read(spark, str(f), form, f.resolve().as_uri() if graph_from_file else ""))
         if found and form == "nt":
